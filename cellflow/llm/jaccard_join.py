@@ -62,7 +62,6 @@ def _poster(bits: int, heavy: np.ndarray):
     """Postings of different sets, packed into one row for each bucket; those of heavy shingles go, ranked last, to any bucket."""
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = 0
         for pdf in batches:
             for _, raw in chunks(pdf["text"].tolist()):
                 different = {}
@@ -79,7 +78,8 @@ def _poster(bits: int, heavy: np.ndarray):
                 for is_hot in (False, True):
                     sel = np.flatnonzero(hot == is_hot)
                     if is_hot:
-                        bucket[sel] = (owner[sel] + turn) % (1 << bits)  # a text's heavy shingles stay together
+                        # A text's heavy shingles stay together, and its copies in other tasks meet them there.
+                        bucket[sel] = (ids.view(np.uint64)[owner[sel]] % np.uint64(1 << bits)).astype(np.int32)
                     sel = sel[np.argsort(bucket[sel], kind="stable")]
                     cut = np.searchsorted(bucket[sel], np.arange((1 << bits) + 1))
                     for b in range(1 << bits):
@@ -88,7 +88,6 @@ def _poster(bits: int, heavy: np.ndarray):
                             own, count = np.unique(owner[part], return_counts=True)
                             low = keys[part].astype("<u8").view(np.uint8).reshape(-1, 8)
                             rows.append((b, is_hot, ids[own].tobytes(), sizes[own].tobytes(), count.astype(np.int32).tobytes(), low[:, : 8 if is_hot else 6].tobytes()))
-                turn += 1
                 yield pd.DataFrame(rows, columns=["bucket", "heavy", "ids", "sizes", "counts", "keys"])
 
     return post
