@@ -28,7 +28,7 @@ from .shingles import chunks, digest, shingle_sets
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Postings that one reducer's bucket should hold.
-BUCKET = 4_000_000
+BUCKET = 2_000_000
 #: Shingles found this often are ordered last by a table of at most HEAVY_ROWS of them, and their postings aren't exchanged.
 HEAVY_FROM, HEAVY_ROWS = 5_000, 16_384
 #: Texts of a cell that a block holds, and texts that a task handles.
