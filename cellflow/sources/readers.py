@@ -21,14 +21,14 @@ def whitespace_table(spark: SparkSession, path: str, columns: list[str]) -> Data
 
 def json_sidecars(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document a file; a corrupt one has null columns and its path."""
-    return spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j")).select("file", "j.*")
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j")).select("file", "j.*")
 
 
 def log_vector(spark: SparkSession, path: str) -> DataFrame:
     """North, east and down parts that an alignment tool's log reports."""
-    number = r"([-+0-9.eE]+)"
-    text = spark.read.option("wholetext", "true").text(path)
-    part = lambda k: F.nullif(F.regexp_extract("value", rf"Translation vector \(North-East-Down, meters\): Vector3\({number},{number},{number}\)", k), F.lit("")).cast("double")
+    number = r"\s*([-+0-9.eE]+)\s*"
+    text = spark.read.text(path, wholetext=True)
+    part = lambda k: F.regexp_extract("value", rf"North-East-Down, meters\):\s*Vector3\({number},{number},{number}\)", k).try_cast("double")
     return text.select(F.input_file_name().alias("file"), part(1).alias("dn"), part(2).alias("de"), part(3).alias("dd"))
 
 
