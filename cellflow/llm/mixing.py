@@ -75,7 +75,7 @@ def mix_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int
     names = list(share)
     code = {s: k for k, s in enumerate(names)}
     # The two tables are literals of fixed size: for each source its share and number of cells, for each slot its source and block.
-    ints = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<long>")
+    ints = lambda xs: (F.split(F.lit(",".join(map(str, xs))), ",") if xs else F.array()).cast("array<long>")
     slots = spark.range(1).select(F.posexplode(F.arrays_zip(ints([code[s] for s, _ in schedule(share)]).alias("s"), ints([k for _, k in schedule(share)]).alias("k"))).alias("slot_in", "x")).select("x.s", "x.k", "slot_in")
     sources = spark.createDataFrame([(s, code[s], share[s], ceil(found[s] / CELL)) for s in names] or [("", 0, 1, 1)], "_source string, s long, share long, cells long")
 
