@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,9 +44,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate value once and use it often in body (Catalyst would inline a plain reference into lambdas)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def rows_where(df: DataFrame, condition: Column) -> DataFrame:
+    """The struct column _row of the rows that meet a condition over computed columns, as columns. A generator instead of a filter, which
+    Catalyst would push below the projections and write out there once for each use of what they compute."""
+    return df.select(F.explode(F.when(condition, F.array("_row"))).alias("_row")).select("_row.*")
 
 
 def words_of(text: Column) -> Column:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, pick
+from .common import keep, pick, rows_where
 from .textstats import FEATURES, text_stats
 
 
@@ -149,4 +149,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that quality_rules keeps, with their columns. Statistics are computed again beside the text, which saves an exchange of texts."""
     rules = learn_from(keep(text_stats(pick(docs, doc_id="long", text="string"), "doc_id"), "stats"), labels)
     whole = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    return text_stats(whole, "_row").where(~base_failed() & decision(rules).isNull()).select("_row.*")
+    return rows_where(text_stats(whole, "_row"), ~base_failed() & decision(rules).isNull())
