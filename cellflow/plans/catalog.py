@@ -346,11 +346,11 @@ def bilinear_gather(spark, d):
     return rounded(grid.gather_bilinear(grid_points(spark, d), price_grid(spark, d), "v"), 4, "value")
 
 
-@query(f"WITH {GRID}, {POINTS} SELECT id, round(n.v, 4) AS nearest, round(c.v, 4) AS ceiling FROM pt LEFT JOIN g n ON n.iy = CAST(round_even(fy, 0) AS INT) AND n.ix = CAST(round_even(fx, 0) AS INT) LEFT JOIN g c ON c.iy = CAST(ceil(fy) AS INT) AND c.ix = CAST(ceil(fx) AS INT)")
+@query(f"WITH {GRID}, {POINTS} SELECT id, round(n.v, 7) AS nearest, round(c.v, 7) AS ceiling FROM pt LEFT JOIN g n ON n.iy = CAST(round_even(fy, 0) AS INT) AND n.ix = CAST(round_even(fx, 0) AS INT) LEFT JOIN g c ON c.iy = CAST(ceil(fy) AS INT) AND c.ix = CAST(ceil(fx) AS INT)")
 def index_gather(spark, d):
     p, g = grid_points(spark, d), price_grid(spark, d)
     both = grid.gather_index(p, g, "v").withColumnRenamed("value", "nearest").join(grid.gather_index(p, g, "v", "ceiling").withColumnRenamed("value", "ceiling"), "id")
-    return rounded(both, 4, "nearest", "ceiling")
+    return rounded(both, 7, "nearest", "ceiling")
 
 
 # --- budgets and spatial statistics
