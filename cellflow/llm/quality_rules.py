@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, pick, rows_where
+from .common import keep, pick
 from .textstats import FEATURES, text_stats
 
 
@@ -146,7 +146,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that quality_rules keeps, with their columns. Statistics are computed again beside the text, which saves an exchange of texts."""
-    rules = learn_from(keep(text_stats(pick(docs, doc_id="long", text="string"), "doc_id"), "stats"), labels)
-    whole = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    return rows_where(text_stats(whole, "_row"), ~base_failed() & decision(rules).isNull())
+    """The rows of documents that quality_rules keeps, with their columns. Whole rows are kept beside their statistics, which are computed
+    once: to learn from (only the statistics are read) and to decide (a filter over stored columns)."""
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    stats = keep(text_stats(whole, "_row", "_id"), "stats")
+    rules = learn_from(stats.select(F.col("_id").alias("doc_id"), *FEATURES), labels)
+    return stats.where(~base_failed() & decision(rules).isNull()).select("_row.*")
