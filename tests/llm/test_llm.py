@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -243,3 +244,59 @@ def test_pipeline_small(spark, docs, tmp_path):
     spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     # Base: 1, 2, 2, 3 and a copy without id pass; 7 repeats itself. One of the copies is left, and no benchmark passage.
     assert {r["doc_id"] for r in collect(corpus_pipeline.run(spark, str(tmp_path)))} <= {1, None}
+
+
+def brute_pipeline(rows, rules, items):
+    """(doc_id, source, slot, shard) that the five stages leave of rows (doc_id, text, source), in plain Python. rules: the learned decision list."""
+    import regex
+
+    def good(text):
+        text = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        many = collections.Counter(win)
+        repeated = len({i + k for i, x in enumerate(win) if many[x] > 1 for k in range(5)})
+        if len(w) < 10 or 100 * repeated > 20 * len(w):
+            return False
+        chars = sum(map(len, w))
+        stats = {
+            "n_words": len(w), "word_len": chars / len(w), "symbol_ratio": len(re.findall(r"[#*$%&|<>]", text)) / len(w), "dup_line_ratio": (len(lines) - len(set(lines))) / len(lines),
+            "repeat_ratio": repeated / len(w), "upper_ratio": len(regex.findall(r"\p{Lu}", text)) / chars, "mark_ratio": len(re.findall(r"[!?]", text)) / len(w), "distinct_ratio": len(set(w)) / len(w),
+        }
+        return not any(all((stats[c.feature] > c.cut) == c.above for c in rule) for rule in rules)
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})))
+
+    left = [r for r in rows if good(r[1])]
+    first = {doc for doc, _, component in brute_components([(r[0], r[1]) for r in left]) if doc == component}
+    windows = {tuple(w[i : i + 10]) for t in items if (w := words(t)) for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    clean = lambda w: not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    table = sharding.lookup_table([f"shard-{k:05d}" for k in range(sharding.SHARDS)])
+    slot = lambda doc: int(hashlib.md5(str(doc).encode()).hexdigest()[:8], 16) % sharding.SLOTS
+    return sorted((doc, source, slot(doc), table[slot(doc)]) for doc, text, source in left if doc in first and clean(words(text)))
+
+
+@pytest.mark.parametrize("with_labels", [True, False])
+def test_pipeline_as_brute_force(spark, tmp_path, with_labels):
+    """All five stages over the smallest tables, with learned rules and (without labels) with none; each stage takes something away."""
+    import corpus_pipeline
+    from cellflow.llm.common import pick, table
+    from cellflow.llm.textstats import text_stats
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    if not with_labels:
+        labels = labels.limit(0)
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", table(spark, d, "benchmark"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    rules = quality_rules.learn_from(text_stats(pick(docs, doc_id="long", text="string"), "doc_id"), labels)
+    assert bool(rules) == with_labels
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    want = brute_pipeline(rows, rules, [r["text"] for r in table(spark, d, "benchmark").collect()])
+    got = sorted((r["doc_id"], r["source"], r["slot"], r["shard"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and 0 < len(want) < len(rows)
