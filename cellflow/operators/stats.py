@@ -113,3 +113,52 @@ def integrate_flux(df: DataFrame, keys: list[str], rate: str, area_km2: float) -
     return ranked.groupBy(*keys).agg(
         F.count("*").alias("n"), (F.count("*") * area_km2).alias("area_km2"), (-F.sum(rate) * gt).alias("gt"), (-F.median(rate) * F.count("*") * gt).alias("gt_robust"),
         F.percentile(rate, F.lit(0.01)).alias("p1"), F.percentile(rate, F.lit(0.99)).alias("p99"), guarded_ratio(F.sum(F.when(top, loss).otherwise(0.0)), F.sum(loss)).alias("top5_share"))
+
+
+def plane(df: DataFrame, keys: list[str], x: str, y: str, z: str, min_count: int = 4) -> DataFrame:
+    """Per key the least-squares plane z = at_mean + ax (x - xc) + ay (y - yc): keys, n, xc, yc, at_mean, ax, ay, sd, se_ax, se_ay.
+
+    Two aggregates: means, then centred sums, which keeps large coordinates from cancelling. Rows with a null are left out. The plane is
+    null with fewer than min_count rows or where the places lie on a line.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
+    mean = rows.groupBy(*keys).agg(F.avg(x).alias("xc"), F.avg(y).alias("yc"), F.avg(z).alias("at_mean"))
+    dx, dy, dz = F.col(x) - F.col("xc"), F.col(y) - F.col("yc"), F.col(z) - F.col("at_mean")
+    sums = {"sxx": dx * dx, "syy": dy * dy, "sxy": dx * dy, "sxz": dx * dz, "syz": dy * dz, "szz": dz * dz}
+    s = rows.join(mean, keys).groupBy(*keys, "xc", "yc", "at_mean").agg(F.count("*").alias("n"), *[F.sum(e).alias(k) for k, e in sums.items()])
+    det = F.col("sxx") * F.col("syy") - F.col("sxy") ** 2
+    s = s.withColumn("det", F.when((F.col("n") >= min_count) & (det > 1e-12 * F.col("sxx") * F.col("syy")), det))
+    s = s.withColumns({"ax": (F.col("syy") * F.col("sxz") - F.col("sxy") * F.col("syz")) / F.col("det"), "ay": (F.col("sxx") * F.col("syz") - F.col("sxy") * F.col("sxz")) / F.col("det")})
+    s = s.withColumn("sd", F.sqrt(F.greatest(F.col("szz") - F.col("ax") * F.col("sxz") - F.col("ay") * F.col("syz"), F.col("det") * 0) / (F.col("n") - 3)))
+    return s.select(*keys, "n", "xc", "yc", "at_mean", "ax", "ay", "sd", (F.col("sd") * F.sqrt(F.col("syy") / F.col("det"))).alias("se_ax"), (F.col("sd") * F.sqrt(F.col("sxx") / F.col("det"))).alias("se_ay"))
+
+
+def kth(rows: DataFrame, z: str, k: int, low: float, high: float, cells: int = 1024) -> float:
+    """The k-th smallest (from 0) of the values of z in low..high, exactly: each round counts them in at most `cells` intervals and goes on
+    in the one that holds it, until one value is left. No task sees more than partial counts."""
+    while low < high:
+        width = (high - low) / cells or 5e-324
+        cell = F.least(F.floor((F.col(z) - low) / width), F.lit(cells - 1))
+        for r in rows.where(F.col(z).between(low, high)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min(z).alias("low"), F.max(z).alias("high")).orderBy("c").collect():
+            if k < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            k -= r["n"]
+    return low
+
+
+def median_of_all(df: DataFrame, z: str) -> float | None:
+    """The exact median of a whole column, without bringing it together; None without values."""
+    rows = df.select(F.col(z).cast("double").alias("_v")).where("_v is not null")
+    n, low, high = rows.agg(F.count("*"), F.min("_v"), F.max("_v")).first()
+    return None if not n else (kth(rows, "_v", (n - 1) // 2, low, high) + kth(rows, "_v", n // 2, low, high)) / 2
+
+
+def standardize(df: DataFrame, strata: list[str], z: str) -> DataFrame:
+    """df with standard: z over its stratum's robust spread, then over the robust spread of all those, so that the result's is 1.
+    Null where a stratum's spread is 0 or unknown, and everywhere if the spread of all is."""
+    spread = nmad(df, strata, z).select(*strata, F.when(F.col("nmad") > 0, F.col("nmad")).alias("_s"))
+    first = df.join(spread, strata, "left").withColumn("_z", F.col(z) / F.col("_s"))
+    mid = median_of_all(first, "_z")
+    scale = median_of_all(first.select(F.abs(F.col("_z") - mid).alias("_d")), "_d") if mid is not None else None
+    return first.withColumn("standard", F.col("_z") / (scale * MAD_TO_SIGMA) if scale else F.lit(None).cast("double")).drop("_s", "_z")

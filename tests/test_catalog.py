@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from cellflow.plans import catalog  # noqa: E402
+from cellflow.plans import catalog, geometry  # noqa: E402
 from oracle import same  # noqa: E402
 
 D = "/root/testdata/sf0.001"
@@ -19,6 +19,10 @@ def test_same_as_sql(spark, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLES[name], D)
 
 
+def test_geometry_is_in_the_catalog():
+    assert catalog.QUERIES["plate_response"] is geometry.plate_response
+
+
 def test_entry_names_match():
     import __spark_entry__ as e
 
