@@ -23,3 +23,48 @@ def radial_spectrum(grid: DataFrame, field: str, v: str, step: float, bins: int)
 
     kinds = dict(grid.dtypes)
     return grid.groupBy(field).applyInPandas(run, f"{field} {kinds[field]}, bin int, n long, power double")
+
+
+def _doubled(a: np.ndarray) -> np.ndarray:
+    """The field with its mirror image on each axis, which makes it periodic without a jump."""
+    a = np.concatenate([a, a[::-1]])
+    return np.concatenate([a, a[:, ::-1]], axis=1)
+
+
+def apply_multiplier(grid: DataFrame, field: str, v: str, step: float, multiplier) -> DataFrame:
+    """(field, iy, ix, v) of each field after its transform is multiplied by multiplier(ky, kx) (radians a metre, numpy in and out).
+
+    One small grid a group. Nulls count as the field's mean and stay null. The field is mirrored first, so its edges don't wrap around.
+    A group without any value gives nulls.
+    """
+    kinds = dict(grid.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        iy, ix = pdf["iy"].to_numpy(), pdf["ix"].to_numpy()
+        a = np.full((int(iy.max()) + 1, int(ix.max()) + 1), np.nan)
+        a[iy, ix] = pdf[v].astype(float)
+        out = a
+        if np.isfinite(a).any():
+            d = _doubled(np.where(np.isfinite(a), a, np.nanmean(a)))
+            ky, kx = (2 * np.pi * np.fft.fftfreq(n, step) for n in d.shape)
+            filtered = np.fft.ifft2(np.fft.fft2(d) * multiplier(ky[:, None], kx[None])).real[: a.shape[0], : a.shape[1]]
+            out = np.where(np.isfinite(a), filtered, np.nan)
+        values = pd.Series(out[iy, ix])
+        return pd.DataFrame({field: pdf[field].to_numpy(), "iy": iy, "ix": ix, v: values.astype(object).where(values.notna(), None)})
+
+    return grid.select(field, "iy", "ix", v).groupBy(field).applyInPandas(run, f"{field} {kinds[field]}, iy int, ix int, {v} double")
+
+
+def damped_inverse(response, damping: float):
+    """The multiplier that undoes a response where it is strong and leaves out what it has nearly wiped out."""
+
+    def multiplier(ky: np.ndarray, kx: np.ndarray) -> np.ndarray:
+        r = response(ky, kx)
+        return np.conj(r) / (np.abs(r) ** 2 + damping)
+
+    return multiplier
+
+
+def low_pass(length: float):
+    """1 / (1 + (k length)^4): waves much longer than length stay."""
+    return lambda ky, kx: 1 / (1 + (np.hypot(ky, kx) * length) ** 4)
