@@ -102,7 +102,7 @@ def nd_binning(spark, d):
 
 @query("""WITH r AS (SELECT o_orderpriority, (o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / 1000 AS r FROM orders),
 k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY r) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS c FROM r)
-SELECT o_orderpriority, count(*) AS n, count(*) * 0.0625 AS area_km2, round(-sum(r) * 1e6 * 0.0625 * 918 / 1e12, 6) AS gt, round(-median(r) * count(*) * 1e6 * 0.0625 * 918 / 1e12, 6) AS gt_robust,
+SELECT o_orderpriority, count(*) AS n, CAST(count(*) * 0.0625 AS DOUBLE) AS area_km2, round(-sum(r) * 1e6 * 0.0625 * 918 / 1e12, 6) AS gt, round(-median(r) * count(*) * 1e6 * 0.0625 * 918 / 1e12, 6) AS gt_robust,
  round(quantile_cont(r, 0.01), 5) AS p1, round(quantile_cont(r, 0.99), 5) AS p99,
  round(sum(CASE WHEN k <= greatest(1, floor(c * 0.05)) THEN greatest(-r, 0) ELSE 0 END) / sum(greatest(-r, 0)), 6) AS top5_share FROM k GROUP BY 1""")
 def flux_totals(spark, d):
@@ -439,7 +439,7 @@ def variogram_models(spark, d):
     return table(spark, d, "embeddings").select("vec_id", *[F.round(S.variogram_model(k, lag, 0.06, 0.19, 1.0), 8).alias(k) for k in ("spherical", "exponential", "gaussian")])
 
 
-@query("""SELECT 'a' AS src, CAST(value AS DOUBLE) AS x, epoch_us(ts) / 1e6 AS y, value AS h, event_id + 0.5 AS quality FROM events WHERE event_type = 'click' UNION ALL
+@query("""SELECT 'a' AS src, CAST(value AS DOUBLE) AS x, epoch_us(ts) / 1e6 AS y, value AS h, CAST(event_id + 0.5 AS DOUBLE) AS quality FROM events WHERE event_type = 'click' UNION ALL
 SELECT 'b', CAST(value AS DOUBLE), epoch_us(ts) / 1e6, value, NULL FROM events WHERE event_type = 'error' AND value IS NOT NULL""")
 def points_union(spark, d):
     e = events(spark, d).withColumn("x", F.col("value")).withColumn("y", F.col("t")).withColumn("h", F.col("value"))
