@@ -162,3 +162,37 @@ def standardize(df: DataFrame, strata: list[str], z: str) -> DataFrame:
     mid = median_of_all(first, "_z")
     scale = median_of_all(first.select(F.abs(F.col("_z") - mid).alias("_d")), "_d") if mid is not None else None
     return first.withColumn("standard", F.col("_z") / (scale * MAD_TO_SIGMA) if scale else F.lit(None).cast("double")).drop("_s", "_z")
+
+
+def robust_plane(df: DataFrame, keys: list[str], x: str, y: str, z: str, keep, min_count: int = 30, rounds: int = 6) -> DataFrame:
+    """Per key a plane as of plane(), by Tukey's weights: keys, n, xc, yc, offset (at xc, yc), ax, ay, sd, se_offset, se_ax, se_ay.
+
+    sd is the residuals' scaled median deviation. Each round is one weighted aggregate and one of medians; keep cuts the lineage. Keys with
+    fewer than min_count full rows, or whose places lie on a line, are null but for n. A key whose weights add up to less
+    than min_count goes back to equal weights.
+    """
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z"))
+    centre = keep(full.groupBy(*keys).agg(F.avg("x").alias("xc"), F.avg("y").alias("yc"), F.count("*").alias("n")))
+    rows = keep(full.join(centre.where(F.col("n") >= min_count), keys).select(*keys, (F.col("x") - F.col("xc")).alias("x"), (F.col("y") - F.col("yc")).alias("y"), "z", F.lit(1.0).alias("w")))
+    c = F.col
+    fit = None
+    for _ in range(rounds):
+        m = rows.groupBy(*keys).agg(F.sum("w").alias("W"), *[(F.sum(c("w") * c(v))).alias(f"s{v}") for v in "xyz"], *[F.sum(c("w") * c(u) * c(v)).alias(f"s{u}{v}") for u, v in ("xx", "xy", "yy", "xz", "yz")])
+        # Weighted sums about the weighted centre; places are already near 0.
+        m = m.withColumns({f"c{u}{v}": c(f"s{u}{v}") - c(f"s{u}") * c(f"s{v}") / c("W") for u, v in ("xx", "xy", "yy", "xz", "yz")})
+        det = c("cxx") * c("cyy") - c("cxy") * c("cxy")
+        m = m.withColumn("det", F.when((c("W") >= min_count / 2) & (det > 1e-12 * c("cxx") * c("cyy")), det))
+        m = m.withColumns({"ax": (c("cyy") * c("cxz") - c("cxy") * c("cyz")) / c("det"), "ay": (c("cxx") * c("cyz") - c("cxy") * c("cxz")) / c("det")})
+        mx, my = c("sx") / c("W"), c("sy") / c("W")
+        m = m.withColumn("offset", c("sz") / c("W") - c("ax") * mx - c("ay") * my)
+        spread = (c("cyy") * mx * mx - 2 * c("cxy") * mx * my + c("cxx") * my * my) / c("det")
+        m = m.select(*keys, "ax", "ay", "offset", (1 / c("W") + spread).alias("v_offset"), (c("cyy") / c("det")).alias("v_ax"), (c("cxx") / c("det")).alias("v_ay")).where("ax is not null")
+        left = rows.join(m, keys).withColumn("r", c("z") - c("offset") - c("ax") * c("x") - c("ay") * c("y"))
+        scale = nmad(left, keys, "r").select(*keys, c("nmad").alias("sd"))
+        fit = keep(m.join(scale, keys))
+        u = c("r") / (TUKEY_C * (c("sd") + 1e-12))
+        weighed = left.join(scale, keys).select(*keys, "x", "y", "z", F.when(F.abs(u) < 1, F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0).alias("w"))
+        enough = weighed.groupBy(*keys).agg((F.sum("w") >= min_count).alias("_enough"))
+        rows = keep(weighed.join(enough, keys).select(*keys, "x", "y", "z", F.when(c("_enough"), c("w")).otherwise(1.0).alias("w")))
+    se = lambda v: (c("sd") * F.sqrt(c(f"v_{v}"))).alias(f"se_{v}")
+    return centre.join(fit, keys, "left").select(*keys, "n", "xc", "yc", "offset", "ax", "ay", "sd", se("offset"), se("ax"), se("ay"))

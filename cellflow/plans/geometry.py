@@ -8,6 +8,7 @@ from cellflow.functions import corrections as C
 from cellflow.functions import names as N
 from cellflow.functions import scalars as S
 from cellflow.operators import footprints, grid, plate, stats
+from cellflow.operators.store import keep
 
 from .catalog import GRID, events, price_grid, query, rounded, table
 
@@ -94,6 +95,12 @@ def plane_by_cell(spark, d):
     return rounded(rounded(stats.plane(rows, ["user_id"], "x", "y", "value"), 6, "xc", "yc", "at_mean", "ax", "ay", "se_ax", "se_ay"), 5, "sd")
 
 
+@query()
+def plane_by_cell_robust(spark, d):
+    rows = events(spark, d).select("user_id", F.hour("ts").cast("double").alias("x"), F.dayofmonth("ts").cast("double").alias("y"), "value")
+    return stats.robust_plane(rows, ["user_id"], "x", "y", "value", keep, 12)
+
+
 @query("""WITH s AS (SELECT event_type, mad(value) * 1.4826 AS s FROM events GROUP BY 1), f AS (SELECT event_id, value / nullif(s, 0) AS z FROM events JOIN s USING (event_type))
 SELECT event_id, round(z / (SELECT mad(z) * 1.4826 FROM f), 6) AS standard FROM f""")
 def two_step_standard(spark, d):

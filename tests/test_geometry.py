@@ -66,3 +66,16 @@ def test_lonlat_near_pole(spark):
     there = df.select("lon", "lat", *[c.alias(n) for c, n in zip(scalars.polar_stereographic(F.col("lon"), F.col("lat")), "xy", strict=True)])
     lon, lat = corrections.lonlat(F.col("x"), F.col("y"))
     assert all(abs(r["lon"] - r["a"]) < 1e-8 and abs(r["lat"] - r["b"]) < 1e-8 for r in there.select("lon", "lat", lon.alias("a"), lat.alias("b")).collect())
+
+
+def test_robust_plane_leaves_out_blunders(spark):
+    from cellflow.operators.store import keep
+
+    rng = random.Random(9)
+    places = [(rng.uniform(0, 100), rng.uniform(0, 80)) for _ in range(200)]
+    rows = [("a", x, y, 5 + 0.3 * x - 0.2 * y + rng.gauss(0, 0.1) + (400 if k % 10 == 0 else 0)) for k, (x, y) in enumerate(places)]
+    rows += [("few", 1.0, 2.0, 3.0), ("few", None, 1.0, 1.0)] + [("line", float(k), 2.0 * k, 1.0) for k in range(40)]
+    out = {r["k"]: r for r in stats.robust_plane(spark.createDataFrame(rows, "k string, x double, y double, z double"), ["k"], "x", "y", "z", keep).collect()}
+    a = out["a"]
+    assert abs(a["ax"] - 0.3) < 0.005 and abs(a["ay"] + 0.2) < 0.005 and abs(a["offset"] - (5 + 0.3 * a["xc"] - 0.2 * a["yc"])) < 0.1 and 0.05 < a["sd"] < 0.2 and 0 < a["se_ax"] < 0.002
+    assert out["few"]["ax"] is None and out["few"]["n"] == 1 and out["line"]["ax"] is None and out["line"]["n"] == 40
