@@ -196,3 +196,27 @@ def robust_plane(df: DataFrame, keys: list[str], x: str, y: str, z: str, keep, m
         rows = keep(weighed.join(enough, keys).select(*keys, "x", "y", "z", F.when(c("_enough"), c("w")).otherwise(1.0).alias("w")))
     se = lambda v: (c("sd") * F.sqrt(c(f"v_{v}"))).alias(f"se_{v}")
     return centre.join(fit, keys, "left").select(*keys, "n", "xc", "yc", "offset", "ax", "ay", "sd", se("offset"), se("ax"), se("ay"))
+
+
+def clipped_line(df: DataFrame, keys: list[str], x: str, y: str, min_count: int = 10, clip: float = 5.0) -> DataFrame:
+    """Per key a least-squares line, fitted again without the rows whose residual is over `clip` median deviations off the median residual:
+    keys, n (rows of the fit), slope, intercept, mad (of the fit's residuals). The first fit stays where fewer than min_count rows are left;
+    keys with fewer than that are null but for n. Rows with a null are left out."""
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+    def line(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+
+    def off(rows: DataFrame, fit: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left = rows.join(fit.where("slope is not null").select(*keys, "slope", "intercept"), keys).select(*keys, "x", "y", (F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")).alias("r"))
+        return left, nmad(left, keys, "r").select(*keys, F.col("median").alias("_m"), (F.col("nmad") / MAD_TO_SIGMA).alias("mad"))
+
+    first = line(full)
+    left, spread = off(full, first)
+    kept = left.join(spread, keys).where(F.abs(F.col("r") - F.col("_m")) <= clip * (F.col("mad") + 1e-9)).select(*keys, "x", "y")
+    again = line(kept).where(F.col("n") >= min_count)
+    _, spread_again = off(kept, again)
+    second = again.join(spread_again, keys).select(*keys, *[F.col(c).alias(f"_{c}") for c in ("n", "slope", "intercept", "mad")])
+    both = first.join(spread.select(*keys, "mad"), keys, "left").join(second, keys, "left")
+    pick = lambda c: F.when(F.col("n") >= min_count, F.when(F.col("_n").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c))).alias(c)
+    return both.select(*keys, F.coalesce("_n", "n").alias("n"), pick("slope"), pick("intercept"), pick("mad"))

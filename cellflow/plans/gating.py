@@ -69,6 +69,17 @@ def pass_checks(spark, d):
     return rounded(gates.pass_checks(by_class, by_year, "R", 2.0, 5.0, 3000.0), 6, "value")
 
 
+@query("""WITH p AS (SELECT user_id, CAST(hour(ts) AS DOUBLE) AS x, value AS y FROM events WHERE value IS NOT NULL),
+f AS (SELECT user_id, count(*) AS n, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM p GROUP BY 1), r AS (SELECT p.*, y - s * x - i AS r FROM p JOIN f USING (user_id)),
+m AS (SELECT user_id, median(r) AS m, mad(r) AS d FROM r GROUP BY 1), k AS (SELECT r.* FROM r JOIN m USING (user_id) WHERE abs(r - m) <= 3 * (d + 1e-9)),
+g AS (SELECT user_id, count(*) AS n, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM k GROUP BY 1 HAVING count(*) >= 10), h AS (SELECT user_id, mad(y - s * x - i) AS d FROM k JOIN g USING (user_id) GROUP BY 1)
+SELECT user_id, coalesce(g.n, f.n) AS n, CASE WHEN f.n >= 10 THEN round(coalesce(g.s, f.s), 6) END AS slope, CASE WHEN f.n >= 10 THEN round(coalesce(g.i, f.i), 6) END AS intercept, CASE WHEN f.n >= 10 THEN round(coalesce(h.d, m.d), 6) END AS mad
+ FROM f LEFT JOIN m USING (user_id) LEFT JOIN g USING (user_id) LEFT JOIN h USING (user_id)""")
+def clipped_line(spark, d):
+    rows = events(spark, d).select("user_id", F.hour("ts").alias("hour"), "value")
+    return rounded(stats.clipped_line(rows, ["user_id"], "hour", "value", 10, 3.0), 6, "slope", "intercept", "mad")
+
+
 @query()
 def retracked(spark, d):
     """Each embedding as an echo: its absolute values on a rising edge."""

@@ -79,3 +79,10 @@ def test_robust_plane_leaves_out_blunders(spark):
     a = out["a"]
     assert abs(a["ax"] - 0.3) < 0.005 and abs(a["ay"] + 0.2) < 0.005 and abs(a["offset"] - (5 + 0.3 * a["xc"] - 0.2 * a["yc"])) < 0.1 and 0.05 < a["sd"] < 0.2 and 0 < a["se_ax"] < 0.002
     assert out["few"]["ax"] is None and out["few"]["n"] == 1 and out["line"]["ax"] is None and out["line"]["n"] == 40
+
+
+def test_clipped_line(spark):
+    rows = [("a", float(i), 2.0 * i + 1 + (500 if i == 7 else 0)) for i in range(30)] + [("few", 1.0, 2.0), ("none", None, 1.0)]
+    out = {r["k"]: r for r in stats.clipped_line(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert out["a"]["n"] == 29 and abs(out["a"]["slope"] - 2) < 1e-9 and abs(out["a"]["intercept"] - 1) < 1e-9 and out["a"]["mad"] < 1e-9
+    assert out["few"]["n"] == 1 and out["few"]["slope"] is None and "none" not in out
