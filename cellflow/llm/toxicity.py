@@ -4,12 +4,15 @@ The lexicon's whole words become Levenshtein automata (distance 1) and its stems
 they make one deterministic automaton over byte classes, which runs over all words of many texts at once: each step is a table lookup for
 the words that are still alive. A match counts as quoted if a quotation mark or a word that reports speech stands in the window of words
 around it; quoted and other matches, exact ones and misspelt ones are separate inputs of a logistic score.
+
+Labelled texts hold hardly any true misspelling, so the weight of misspelt matches is learned from copies of the toxic texts whose lexicon
+words are misspelt. Near-words that texts with label 0 hold are words of their own, not misspellings.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -57,11 +60,12 @@ def normal(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 @dataclass
 class Matcher:
-    """table: (state, byte class) to state, 0 is dead; accept: what a word that ends in a state is."""
+    """table: (state, byte class) to state, 0 is dead; accept: what a word that ends in a state is; regular: near-words that are no misspellings."""
 
     classes: np.ndarray
     table: np.ndarray
     accept: np.ndarray
+    regular: frozenset = frozenset()
 
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word EXACT, FUZZY, PREFIX or 0."""
@@ -152,10 +156,36 @@ def learn_lexicon(toxic: list[bytes], other: list[bytes], most: int = LEXICON) -
     return [w for w, s in chosen if not s], [w for w, s in chosen if s]
 
 
+def near_words(raw: list[bytes], matcher: Matcher) -> frozenset:
+    """The words of texts that match the lexicon with a mistake."""
+    data, starts, ends, _ = normal(raw)
+    whole, hits = data.tobytes(), np.flatnonzero(matcher.run(data, starts, ends) == FUZZY)
+    return frozenset(whole[starts[k] : ends[k]] for k in hits)
+
+
+def misspelt(raw: bytes, matcher: Matcher) -> bytes:
+    """The text with one mistake in each exact match that may be misspelt: in turn a letter twice, one left out, two kinds of another one."""
+    data, starts, ends, _ = normal([raw])
+    hits = np.flatnonzero((matcher.run(data, starts, ends) == EXACT) & (ends - starts >= FUZZY_FROM))
+    out, done = [], 0
+    for turn, k in enumerate(hits):
+        ascii_at = [i for i in range(starts[k] + 1, ends[k]) if raw[i] < 128 and raw[i - 1] < 128]
+        if not ascii_at:
+            continue
+        at = ascii_at[(7 * turn + ends[k] - starts[k]) % len(ascii_at)]
+        letter = raw[at : at + 1]
+        out += [raw[done:at], (letter * 2, b"", b"0", b"x" if letter != b"x" else b"y")[turn % 4]]
+        done = at + 1
+    return b"".join([*out, raw[done:]])
+
+
 def features(raw: list[bytes], matcher: Matcher) -> np.ndarray:
     """For each text: logarithms of its counts of exact, misspelt and stem matches, each not quoted and quoted, of all that aren't quoted for 100 words, and of its words."""
     data, starts, ends, first = normal(raw)
     kind = matcher.run(data, starts, ends)
+    if matcher.regular:
+        whole = data.tobytes()
+        kind[[k for k in np.flatnonzero(kind == FUZZY) if whole[starts[k] : ends[k]] in matcher.regular]] = 0
     hits = np.flatnonzero(kind)
     text = np.searchsorted(first, hits, "right") - 1
     out = np.zeros((len(raw), FEATURES))
@@ -205,6 +235,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
+def fit_matches(matcher: Matcher, toxic: list[bytes], other: list[bytes]) -> Model:
+    """Weights from the labelled texts and from misspelt copies of the toxic ones that have an exact match. For the weights each half of the
+    others is read with the near-words of the other half, as unseen texts are; the model has those of all."""
+    halves = [other[0::2], other[1::2]]
+    known = [near_words(h, matcher) if h else frozenset() for h in halves]
+    seen = set(toxic)
+    copies = [c for c in (misspelt(b, matcher) for b in toxic) if c not in seen]
+    full = replace(matcher, regular=known[0] | known[1])
+    parts = [features(toxic + copies, full), *[features(h, replace(matcher, regular=k)) for h, k in zip(halves, known[::-1], strict=True) if h]]
+    w = fit_logistic(np.concatenate(parts), np.repeat([1.0, 0.0], [len(toxic) + len(copies), len(other)]))
+    w[[2 * (k - 1) for k in (EXACT, FUZZY, PREFIX)]] = np.maximum(w[[2 * (k - 1) for k in (EXACT, FUZZY, PREFIX)]], 0)
+    return Model(full, w)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fitted on at most `rows` labelled rows of each label whose fold of five isn't 0. Half of them give the lexicon, all the weights."""
     known = pick(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic in (0, 1)").where(label_fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("y"))
@@ -216,7 +260,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     matcher = compile_lexicon(*learn_lexicon(toxic, other))
     if not toxic or not other:
         return Model(matcher, np.append(np.zeros(FEATURES), 4.0 if toxic else -4.0))
-    return Model(matcher, fit_logistic(features(raw, matcher), y))
+    return fit_matches(matcher, toxic, other)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

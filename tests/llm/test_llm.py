@@ -171,6 +171,28 @@ def test_toxicity(spark, docs):
     assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in out)
 
 
+def test_misspelt_words_reach_the_verdict():
+    rng = np.random.default_rng(4)
+    plain = lambda n: [f"w{k}" for k in rng.integers(0, 400, n)]
+    bad = ["idiot", "moron", "stupid", "worthless"]
+
+    def with_words(n, words):
+        text = plain(n)
+        for w in words:
+            text.insert(rng.integers(len(text) + 1), w)
+        return " ".join(text).encode()
+
+    # A chance near-word in clean texts, and toxic texts without any misspelling.
+    other = [with_words(60, ["oron"] * int(k % 4 == 0)) for k in range(300)]
+    toxic = [with_words(60, rng.choice(bad, 3).tolist()) for k in range(120)]
+    matcher = toxicity.compile_lexicon(*toxicity.learn_lexicon(toxic, other))
+    assert toxicity.misspelt(b"you idiot", matcher) != b"you idiot" and toxicity.misspelt(b"you there", matcher) == b"you there"
+    model = toxicity.fit_matches(matcher, toxic, other)
+    found = model.score([with_words(60, ["idiott", "stupidd", "moronn"]) for _ in range(50)])
+    clean = model.score([with_words(60, ["oron", "oron"] * int(k % 2)) for k in range(50)])
+    assert (found >= 0.5).all() and (clean < 0.5).all()
+
+
 def test_quality_classifier(spark, docs):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 3))
