@@ -47,9 +47,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=0).drop("n_near_items", "near_items_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language, op3_mix_sources, op4_toxicity, op5_warc, op6_pii, op7_jaccard_join, op8_quality_classifier, op9_sharding, op10_decontamination)}
+def op10_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language, op3_mix_sources, op4_toxicity, op5_warc, op6_pii, op7_jaccard_join, op8_quality_classifier, op9_sharding, op10_decontamination, op10_near_matches)}
 
 ORACLES: dict[str, Callable[[], str]] = {"op3_mix_sources": mixing.oracle_sql, "op5_warc": warc.oracle_sql, "op9_sharding": sharding.oracle_sql, "op10_decontamination": decontam.oracle_sql}

@@ -117,6 +117,48 @@ def test_near_match(spark):
     assert r["n_hit"] == 0
 
 
+def brute_near(doc, item, near=decontam.NEAR, size=decontam.WINDOW):
+    """Whether a window of the item is within `near` edits of words of the document, by Sellers' method; shorter items exactly."""
+    if len(item) < size:
+        return any(doc[i : i + len(item)] == item for i in range(len(doc) - len(item) + 1))
+    for b in range(len(item) - size + 1):
+        row = [0] * (len(doc) + 1)
+        for k, w in enumerate(item[b : b + size], 1):
+            new = [k]
+            for j, x in enumerate(doc, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != w)))
+            row = new
+        if min(row) <= near:
+            return True
+    return False
+
+
+def test_near_matches_as_brute_force(spark):
+    rng = np.random.default_rng(6)
+    items = [[f"v{k}" for k in rng.integers(0, 60, rng.integers(4, 90))] for _ in range(15)]
+    docs = []
+    for k in range(150):
+        item = items[rng.integers(len(items))]
+        a = rng.integers(max(1, len(item) - 11))
+        copy = list(item[a : a + rng.integers(8, 14)])
+        for _ in range(rng.integers(0, 5)):
+            at, how = rng.integers(len(copy)), rng.integers(3)
+            copy[at : at + int(how != 0)] = [] if how == 2 else [f"n{k}"]
+            copy = copy or ["x"]
+        docs.append((k, [*[f"v{j}" for j in rng.integers(0, 60, rng.integers(0, 20))], *copy, *[f"u{j}" for j in rng.integers(0, 60, rng.integers(0, 20))]]))
+    # A word put in before every seventh word, and one that no document has.
+    docs.append((900, [w for j, x in enumerate(items[0] * 3) for w in ([f"f{j}", x] if j % 7 == 0 else [x])]))
+    items.append([f"z{j}" for j in range(9)] + ["absent"])
+    docs.append((901, [f"z{j}" for j in range(9)]))
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_near_items"], r["near_items_sha256"]) for r in collect(decontam.decontaminate(d, b))}
+    for k, words in docs:
+        want = sorted(str(i) for i, item in enumerate(items) if brute_near(words, item))
+        assert got[k] == (len(want), hashlib.sha256(",".join(want).encode()).hexdigest()), (k, want)
+    assert got[901][0] == 1 and 20 < sum(n > 0 for n, _ in got.values()) < len(docs)
+
+
 def test_pfair_deviation():
     share = mixing.shares({"a": 5, "b": 3, "c": 1, "d": 0}, 97)
     assert sum(share.values()) == 97 and share["d"] == 1
