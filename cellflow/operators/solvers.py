@@ -11,24 +11,38 @@ from pyspark.sql import functions as F
 def epoch_offsets(cells: DataFrame, keep, rounds: int = 30, ridge_cell: float = 1e-6, ridge_epoch: float = 1e-3, tol: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """Offsets of epochs and trends of cells that fit z (cell, epoch, t, z) together: z = level + slope * t + offset of the epoch.
 
-    Block descent on a strictly convex sum of squares with small ridges: cells' 2x2 systems by one aggregate, epochs' means by another; the
-    mean offset is 0 at the end. Returns (cell, level, slope) and (epoch, offset).
+    The least squares with small ridges are solved directly: cells are eliminated by aggregates, and the system of epochs that is left (epochs
+    are few: epochs x epochs numbers reach the driver) is solved and refined until its residual is `tol` of its right side; an error is raised
+    if `rounds` refinements don't reach that. The mean offset is 0 at the end. Returns (cell, level, slope) and (epoch, offset).
     """
+    spark = cells.sparkSession
     t0 = cells.agg(F.avg("t")).first()[0] or 0.0
     rows = cells.where("z is not null").withColumn("t", F.col("t") - t0)
     base = keep(rows.join(rows.groupBy("cell").agg(F.median("z").alias("_m")), "cell").withColumn("z", F.col("z") - F.col("_m")))
-    offsets = keep(base.select("epoch").distinct().withColumn("offset", F.lit(0.0)))
-    fit = None
+    met = keep(base.groupBy("cell", "epoch").agg(F.count("*").alias("n"), F.sum("t").alias("st"), F.sum("z").alias("sz"), F.sum(F.col("t") * F.col("z")).alias("stz"), F.sum(F.col("t") * F.col("t")).alias("stt")))
+    n, stt = F.sum("n") + ridge_cell, F.sum("stt") + ridge_cell
+    own = met.groupBy("cell").agg(n.alias("_n"), F.sum("st").alias("_st"), stt.alias("_stt"), F.sum("sz").alias("_sz"), F.sum("stz").alias("_stz"), (n * stt - F.sum("st") * F.sum("st")).alias("_den"))
+    # What an epoch's rows of a cell take from the cell's level and slope.
+    part = met.join(own, "cell").withColumn("level", (F.col("_stt") * F.col("n") - F.col("_st") * F.col("st")) / F.col("_den")).withColumn("slope", (F.col("_n") * F.col("st") - F.col("_st") * F.col("n")) / F.col("_den"))
+    right = part.groupBy("epoch").agg(F.sum("n").alias("n"), F.sum(F.col("sz") - F.col("level") * F.col("_sz") - F.col("slope") * F.col("_stz")).alias("v")).collect()
+    pairs = part.select("cell", "epoch", "level", "slope").join(met.select("cell", F.col("epoch").alias("other"), "n", "st"), "cell").groupBy("epoch", "other").agg(F.sum(F.col("level") * F.col("n") + F.col("slope") * F.col("st")).alias("v")).collect()
+    at = {r["epoch"]: k for k, r in enumerate(right)}
+    system, b = np.diag([r["n"] + ridge_epoch for r in right]).reshape(len(at), len(at)), np.array([r["v"] for r in right], float)
+    for r in pairs:
+        system[at[r["epoch"]], at[r["other"]]] -= r["v"]
+    x = np.linalg.solve(system, b) if at else b
     for _ in range(rounds):
-        s = base.join(F.broadcast(offsets) if offsets.count() <= 100_000 else offsets, "epoch").withColumn("r", F.col("z") - F.col("offset")).groupBy("cell", "_m").agg(F.count("*").alias("n"), F.sum("t").alias("st"), F.sum(F.col("t") * F.col("t")).alias("stt"), F.sum("r").alias("sr"), F.sum(F.col("t") * F.col("r")).alias("str"))
-        n, stt = F.col("n") + ridge_cell, F.col("stt") + ridge_cell
-        den = n * stt - F.col("st") * F.col("st")
-        fit = keep(s.select("cell", "_m", ((stt * F.col("sr") - F.col("st") * F.col("str")) / den).alias("level"), ((n * F.col("str") - F.col("st") * F.col("sr")) / den).alias("slope")))
-        new = keep(base.drop("_m").join(fit, "cell").groupBy("epoch").agg((F.sum(F.col("z") - F.col("level") - F.col("slope") * F.col("t")) / (F.count("*") + ridge_epoch)).alias("offset")))
-        moved = new.join(offsets.withColumnRenamed("offset", "_o"), "epoch").agg(F.max(F.abs(F.col("offset") - F.col("_o")))).first()[0]
-        offsets = new
-        if moved is None or moved < tol:
+        left = b - system @ x
+        if np.abs(left).max(initial=0.0) <= tol * max(np.abs(b).max(initial=0.0), 1e-300):
             break
+        x += np.linalg.solve(system, left)
+    else:
+        raise ArithmeticError(f"the offsets' residual is above {tol} after {rounds} refinements")
+    offsets = spark.createDataFrame([(e, float(x[k])) for e, k in at.items()], f"epoch {dict(cells.dtypes)['epoch']}, offset double")
+    s = base.join(F.broadcast(offsets), "epoch").withColumn("r", F.col("z") - F.col("offset")).groupBy("cell", "_m").agg(F.count("*").alias("n"), F.sum("t").alias("st"), F.sum(F.col("t") * F.col("t")).alias("stt"), F.sum("r").alias("sr"), F.sum(F.col("t") * F.col("r")).alias("str"))
+    n, stt = F.col("n") + ridge_cell, F.col("stt") + ridge_cell
+    den = n * stt - F.col("st") * F.col("st")
+    fit = s.select("cell", "_m", ((stt * F.col("sr") - F.col("st") * F.col("str")) / den).alias("level"), ((n * F.col("str") - F.col("st") * F.col("sr")) / den).alias("slope"))
     centre = offsets.agg(F.avg("offset")).first()[0] or 0.0
     return fit.select("cell", (F.col("level") + F.col("_m") + centre - F.col("slope") * t0).alias("level"), "slope"), offsets.withColumn("offset", F.col("offset") - centre)
 

@@ -467,7 +467,7 @@ def session_windows(spark, d):
 @query()
 def epoch_offsets(spark, d):
     e = events(spark, d).select(F.col("user_id").alias("cell"), F.to_date("ts").alias("epoch"), (F.col("t") / S.SECONDS_PER_YEAR).alias("t"), F.col("value").alias("z"))
-    return rounded(solvers.epoch_offsets(e, keep, rounds=6)[1], 6, "offset")
+    return rounded(solvers.epoch_offsets(e, keep)[1], 6, "offset")
 
 
 @query()

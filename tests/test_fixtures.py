@@ -54,6 +54,20 @@ def test_epoch_offsets_recovered(spark):
     assert np.abs(a - np.polyval(np.polyfit(range(4), a, 1), range(4))).max() < 0.02
 
 
+def test_epoch_offsets_are_the_optimum(spark):
+    rng = np.random.default_rng(8)
+    rows = [(c, int(k), float(k + rng.random()), float(rng.normal() + 0.3 * c + 0.2 * k)) for c in range(12) for k in rng.choice(9, 5, replace=False)]
+    trend, got = solvers.epoch_offsets(spark.createDataFrame(rows, "cell int, epoch int, t double, z double"), keep)
+    t0 = np.mean([r[2] for r in rows])
+    mid = {c: np.median([r[3] for r in rows if r[0] == c]) for c in range(12)}
+    a, z = np.zeros((len(rows), 33)), np.array([r[3] - mid[r[0]] for r in rows])
+    for i, (c, k, t, _) in enumerate(rows):
+        a[i, c], a[i, 12 + c], a[i, 24 + k] = 1, t - t0, 1
+    x = np.linalg.solve(a.T @ a + np.diag([1e-6] * 24 + [1e-3] * 9), a.T @ z)
+    want = x[24:] - x[24:].mean()
+    assert all(abs(r.offset - want[r.epoch]) < 1e-6 for r in got.collect()) and all(abs(r.slope - x[12 + r.cell]) < 1e-6 for r in trend.collect())
+
+
 def test_greedy_dedup_rules(spark):
     p = spark.createDataFrame([(1, 2, 0.9, 0.1, 0.2), (2, 3, 0.8, 0.1, 0.1), (3, 4, 0.7, 0.3, 0.3), (5, 6, 0.6, None, 0.1)], "i int, j int, overlap double, sigma_i double, sigma_j double")
     assert qc.greedy_dedup(p) == [2, 4, 6]
