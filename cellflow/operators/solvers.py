@@ -47,20 +47,54 @@ def epoch_offsets(cells: DataFrame, keep, rounds: int = 30, ridge_cell: float =
     return fit.select("cell", (F.col("level") + F.col("_m") + centre - F.col("slope") * t0).alias("level"), "slope"), offsets.withColumn("offset", F.col("offset") - centre)
 
 
-def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 10) -> DataFrame:
-    """(key, cluster): from centres at the k smallest keys, each round one aggregate; a centre that loses all rows stays. Centres are k small rows."""
+def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 40) -> DataFrame:
+    """(key, cluster): Lloyd's rounds over standardised features until no row changes its cluster (`rounds` at most).
+
+    Centres start at the rows nearest to evenly spaced quantiles along the first principal component (of rows alike the smallest key); a
+    centre that loses all rows stays. A round is one aggregate; centres are k small rows.
+    """
     dim = len(df.select(vector).first()[0])
-    centres = [list(map(float, r[vector])) for r in df.orderBy(key).limit(k).collect()]
-    dist = lambda c: F.aggregate(F.zip_with(F.col(vector), F.lit(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y.cast("double"))
-    assigned = None
+    each = lambda f: [f(F.get(vector, j).cast("double")) for j in range(dim)]
+    mean, sd = (np.array(df.agg(*each(f)).first(), float) for f in (F.avg, F.stddev_pop))
+    sd[~(sd > 0)] = 1.0
+    lits = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    z = df.select(key, F.transform(F.arrays_zip(F.col(vector).alias("x"), lits(mean).alias("m"), lits(sd).alias("s")), lambda e: (e["x"].cast("double") - e["m"]) / e["s"]).alias("_z"))
+
+    def products(batches):
+        total, count = np.zeros((dim, dim)), 0
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["_z"].to_numpy()).astype(float)
+                total, count = total + x.T @ x, count + len(x)
+        yield pd.DataFrame({"v": [total.ravel()], "n": [count]})
+
+    sums = z.select("_z").mapInPandas(products, "v array<double>, n long").collect()
+    count = sum(r["n"] for r in sums)
+    cov = np.sum([r["v"] for r in sums], axis=0).reshape(dim, dim) / max(count - 1, 1) + 1e-12 * np.eye(dim)
+    axis = np.ones(dim) / np.sqrt(dim)
+    for _ in range(100):
+        axis = cov @ axis
+        axis /= max(np.linalg.norm(axis), 1e-30)
+    dot = F.aggregate(F.zip_with("_z", lits(axis), lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    placed = z.withColumn("_p", dot)
+    quantiles = placed.agg(F.percentile("_p", F.array(*[F.lit((i + 0.5) / k) for i in range(k)]))).first()[0]
+    seeds = placed.agg(*[F.min(F.struct(F.abs(F.col("_p") - F.lit(q)).alias("d"), F.col(key).alias("key"), F.col("_z").alias("z"))).alias(f"s{i}") for i, q in enumerate(quantiles)]).first()
+    centres = [list(s["z"]) for s in seeds]
+
+    def nearest(to: list[list[float]]):
+        dist = lambda c: F.aggregate(F.zip_with("_z", lits(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y)
+        return F.array_min(F.array(*[F.struct(dist(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(to)]))["i"]
+
+    before = None
     for _ in range(rounds):
-        assigned = df.withColumn("cluster", F.array_min(F.array(*[F.struct(dist(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"])
-        means = {r["cluster"]: [r[f"m{j}"] for j in range(dim)] for r in assigned.groupBy("cluster").agg(*[F.avg(F.get(vector, j)).alias(f"m{j}") for j in range(dim)]).collect()}
-        new = [means.get(i, c) for i, c in enumerate(centres)]
-        if np.allclose(new, centres, atol=1e-9):
+        now = z.withColumn("cluster", nearest(centres)).withColumn("_was", nearest(before) if before else F.lit(-1))
+        found = now.groupBy("cluster").agg(F.count_if(F.col("cluster") != F.col("_was")).alias("moved"), *[F.avg(F.get("_z", j)).alias(f"m{j}") for j in range(dim)]).collect()
+        last = centres
+        if not sum(r["moved"] for r in found):
             break
-        centres = new
-    return assigned.select(key, "cluster")
+        means = {r["cluster"]: [r[f"m{j}"] for j in range(dim)] for r in found}
+        before, centres = centres, [means.get(i, c) for i, c in enumerate(centres)]
+    return z.select(key, nearest(last).alias("cluster"))
 
 
 def principal_components(df: DataFrame, vector: str, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -472,7 +472,7 @@ def epoch_offsets(spark, d):
 
 @query()
 def kmeans_geometry(spark, d):
-    return solvers.kmeans(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 4, rounds=4)
+    return solvers.kmeans(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 4)
 
 
 @query()

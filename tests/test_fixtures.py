@@ -68,6 +68,25 @@ def test_epoch_offsets_are_the_optimum(spark):
     assert all(abs(r.offset - want[r.epoch]) < 1e-6 for r in got.collect()) and all(abs(r.slope - x[12 + r.cell]) < 1e-6 for r in trend.collect())
 
 
+def test_kmeans_as_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 3)) * [1.0, 50.0, 0.1] + rng.integers(0, 3, (400, 1)) * [1.0, 40.0, 0.2]
+    got = {r.id: r.cluster for r in solvers.kmeans(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>"), "id", "v", 4).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    axis = np.ones(3) / np.sqrt(3)
+    for _ in range(100):
+        axis = np.cov(z.T) @ axis
+        axis /= np.linalg.norm(axis)
+    p = z @ axis
+    centres, last, rounds = np.stack([z[np.argmin(np.abs(p - q))] for q in np.quantile(p, (np.arange(4) + 0.5) / 4)]), None, 0
+    for rounds in range(40):
+        label = ((z[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        if last is not None and (label == last).all():
+            break
+        last, centres = label, np.stack([z[label == b].mean(0) for b in range(4)])
+    assert rounds > 4 and [got[i] for i in range(400)] == label.tolist()
+
+
 def test_greedy_dedup_rules(spark):
     p = spark.createDataFrame([(1, 2, 0.9, 0.1, 0.2), (2, 3, 0.8, 0.1, 0.1), (3, 4, 0.7, 0.3, 0.3), (5, 6, 0.6, None, 0.1)], "i int, j int, overlap double, sigma_i double, sigma_j double")
     assert qc.greedy_dedup(p) == [2, 4, 6]
