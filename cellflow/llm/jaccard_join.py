@@ -191,16 +191,12 @@ def _tasks(rows: DataFrame, *by: str) -> DataFrame:
     return rows.withColumn("task", F.pmod(F.xxhash64(*by), F.lit(max(1, math.ceil(rows.count() / TASK)))))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles (long), component_id (the smallest doc_id that links reach, itself included).
-
-    Null or empty text: no shingles, linked with nothing, its own component. Repeated rows are copies. A row with a null doc_id takes part;
-    its component is that of its copies and partners with ids, or null where no id is reachable.
-    """
+def _cells(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n, digest), their different sets (digest, n, least, copies, rep), sets' shared shingles and cells (pivot, rep)."""
     rows = pick(docs, doc_id="long", text="string").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     scanned = keep(rows.mapInPandas(_scan, "kind int, doc_id long, n long, digest long"), "scan")
     per_doc = scanned.where("kind = 0").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n", "digest")
-    sets = keep(per_doc.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("least")).withColumn("rep", F.coalesce("least", NAMELESS + F.pmod("digest", F.lit(NAMELESS - 1)))), "sets")
+    sets = keep(per_doc.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.coalesce("least", NAMELESS + F.pmod("digest", F.lit(NAMELESS - 1)))), "sets")
 
     heavy = scanned.where("kind = 1").groupBy("digest").agg(F.sum("n").alias("found")).where(F.col("found") >= HEAVY_FROM).orderBy(F.desc("found"), "digest").limit(HEAVY_ROWS)
     heavy_keys = np.sort(np.array([r["digest"] for r in heavy.collect()], np.int64).view(np.uint64))
@@ -214,7 +210,76 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     regions = keep(near.select(F.explode("rare").alias("key"), "rep", "n", "common"), "regions")
     pivots = regions.groupBy("key").agg(F.max(F.struct("common", -F.col("rep"), "n")).alias("p"), F.count("*").alias("texts")).where("texts > 1").select("key", (-F.col("p.col2")).alias("pivot"))
-    cells = keep(regions.join(pivots, "key").select("pivot", "rep").distinct(), "cells")
+    return per_doc, sets, near, keep(regions.join(pivots, "key").select("pivot", "rep").distinct(), "cells")
+
+
+def _pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """All linked pairs of the task's blocks. A pair that meets in several cells is reported in that of the smallest pivot."""
+    out = []
+    for (pivot, one, two), block in pdf.groupby(["pivot", "one", "two"]):
+        rep, n, copies, part = (block[c].to_numpy() for c in ("rep", "n", "copies", "block"))
+
+        def inverted(column: str, block=block) -> tuple[np.ndarray, np.ndarray]:
+            keys, owner = np.concatenate(block[column].tolist()), np.repeat(np.arange(len(block)), [len(k) for k in block[column]])
+            order = np.argsort(keys, kind="stable")
+            return keys[order], owner[order]
+
+        def meets(own: np.ndarray, keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            a, b = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            at = np.repeat(a - np.concatenate(([0], np.cumsum(b - a)[:-1])), b - a) + np.arange((b - a).sum())
+            return owner[at], np.repeat(own, b - a)
+
+        by_key, by_cell = inverted("keys"), inverted("pivots")
+        for k in range(len(block)):
+            common = np.bincount(meets(block["keys"].iloc[k], *by_key)[0], minlength=len(block))
+            hit = linked(common, n, n[k]) & (rep > rep[k]) & ((part != part[k]) | (one == two))
+            if hit.any():
+                least = np.full(len(block), np.iinfo(np.int64).max)
+                np.minimum.at(least, *meets(block["pivots"].iloc[k], *by_cell))
+                for j in np.flatnonzero(hit & (least == pivot)):
+                    out.append((int(rep[k]), int(rep[j]), int(copies[k]), int(copies[j])))
+    return pd.DataFrame(out, columns=["a", "b", "a_copies", "b_copies"])
+
+
+def _link_counts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each set the rows that the task's pairs link with it."""
+    p = _pairs(key, pdf)
+    ends = pd.DataFrame({"rep": np.concatenate([p["a"], p["b"]]).astype(np.int64), "more": np.concatenate([p["b_copies"], p["a_copies"]]).astype(np.int64)})
+    return ends.groupby("rep", as_index=False)["more"].sum()
+
+
+def _pair_tasks(sets: DataFrame, near: DataFrame, cells: DataFrame):
+    """All of each cell, dealt in pairs of blocks to tasks, for _pairs."""
+    sizes = cells.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = cells.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    every = placed.select("pivot", "rep", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    blocks = keep(every.select("pivot", "rep", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")), "pair-blocks")
+    facts = near.join(sets.select("rep", "copies"), "rep").join(cells.groupBy("rep").agg(F.collect_set("pivot").alias("pivots")), "rep").select("rep", "n", "keys", "copies", "pivots")
+    return _tasks(blocks, "pivot", "one", "two").join(facts, "rep").groupBy("task")
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """(a, b), a < b: each linked pair of different sets once. A set stands for its copies under their smallest doc_id (if only null ids have it,
+    under a number from NAMELESS on)."""
+    _, sets, near, cells = _cells(docs)
+    return _pair_tasks(sets, near, cells).applyInPandas(_pairs, "a long, b long, a_copies long, b_copies long").select("a", "b")
+
+
+def jaccard_degrees(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, n_links (long): how many other rows are linked with it, copies of it included. Texts without shingles have none."""
+    per_doc, sets, near, cells = _cells(docs)
+    ends = _pair_tasks(sets, near, cells).applyInPandas(_link_counts, "rep long, more long")
+    degree = sets.join(ends.groupBy("rep").agg(F.sum("more").alias("more")), "rep", "left").select("digest", "n", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return per_doc.join(degree, ["digest", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles (long), component_id (the smallest doc_id that links reach, itself included).
+
+    Null or empty text: no shingles, linked with nothing, its own component. Repeated rows are copies. A row with a null doc_id takes part;
+    its component is that of its copies and partners with ids, or null where no id is reachable.
+    """
+    per_doc, sets, near, cells = _cells(docs)
 
     def with_sets(of: DataFrame, name: str = "rep") -> DataFrame:
         return of.join(near.select(F.col("rep").alias(name), "n", "keys"), name)

@@ -38,6 +38,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_degrees(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbdt_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,6 @@ def op10_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language, op3_mix_sources, op4_toxicity, op5_warc, op6_pii, op7_jaccard_join, op8_quality_classifier, op9_sharding, op10_decontamination, op10_near_matches)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language, op3_mix_sources, op4_toxicity, op5_warc, op6_pii, op7_jaccard_join, op7_links, op8_quality_classifier, op9_sharding, op10_decontamination, op10_near_matches)}
 
 ORACLES: dict[str, Callable[[], str]] = {"op3_mix_sources": mixing.oracle_sql, "op5_warc": warc.oracle_sql, "op9_sharding": sharding.oracle_sql, "op10_decontamination": decontam.oracle_sql}

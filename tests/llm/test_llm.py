@@ -99,6 +99,30 @@ def test_jaccard_chains(spark, monkeypatch, heavy):
     same_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
 
 
+def test_jaccard_links(spark, docs, monkeypatch):
+    """Each linked pair once and each row's number of links, over families larger than a block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = np.random.default_rng(7)
+    rows = [(k, f"f{k % 3}x " + " ".join(f"f{k % 3}w{j}" if j not in cut else f"n{k}" for j in range(40))) for k, cut in enumerate(rng.integers(0, 60, (60, 2)).tolist())]
+    rows += [(100 + k, rows[k][1]) for k in range(0, 12, 2)] + [(None, rows[0][1]), (None, rows[1][1] + " more"), (200, ""), (201, None), (202, "one two"), (203, "One two")]
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in collect(jaccard_join.jaccard_degrees(d))), key=str)
+    want = sorted(((rows[i][0], len(x), sum(near(x, y) for j, y in enumerate(sets) if i != j)) for i, x in enumerate(sets)), key=str)
+    assert got == want and max(n for *_, n in want) > jaccard_join.BLOCK
+    named = {}
+    for (doc, _), x in zip(rows, sets, strict=True):
+        if x and doc is not None:
+            named[frozenset(x)] = min(doc, named.get(frozenset(x), doc))
+    pairs = [(r["a"], r["b"]) for r in collect(jaccard_join.jaccard_links(d))]
+    assert len(pairs) == len(set(pairs))
+    assert {p for p in pairs if p[1] < jaccard_join.NAMELESS} == {(p, q) for x, p in named.items() for y, q in named.items() if p < q and near(x, y)}
+
+
 def test_decontamination_edges(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(f"ALPHA{k}" for k in range(5, 18))), (2, "One. Two!"), (3, None), (None, "same words same"), (4, "...")], "item_id long, text string")
     out = collect(decontam.decontaminate(docs, bench))
