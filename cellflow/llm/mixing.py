@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, pick
+from .common import keep, pick, small
 
 BLOCK = 16
 PERIOD = 1000
@@ -64,7 +64,8 @@ def mix_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int
     """All columns of docs, then block (of its source), slot and position (long), which replace columns of those names; rows in order of position have the target mix.
 
     weights: whole numbers by source; a source without one counts as 0 and gets one block a period; None: tempered. A null source is a source
-    of its own (weights name it ""). Rows that share an id are in any order among themselves.
+    of its own (weights name it ""). The period is `period` slots, or twice the number of sources where that is more. Rows that share an id are
+    in the order of a hash of their other columns (rows alike in all are interchangeable); a row without an id takes its place by that hash.
     """
     spark = docs.sparkSession
     key = F.coalesce("source", F.lit(""))
@@ -76,16 +77,19 @@ def mix_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int
     code = {s: k for k, s in enumerate(names)}
     # The two tables are literals of fixed size: for each source its share and number of cells, for each slot its source and block.
     ints = lambda xs: (F.split(F.lit(",".join(map(str, xs))), ",") if xs else F.array()).cast("array<long>")
-    slots = spark.range(1).select(F.posexplode(F.arrays_zip(ints([code[s] for s, _ in schedule(share)]).alias("s"), ints([k for _, k in schedule(share)]).alias("k"))).alias("slot_in", "x")).select("x.s", "x.k", "slot_in")
+    turns = schedule(share)
+    slots = spark.range(1).select(F.posexplode(F.arrays_zip(ints([code[s] for s, _ in turns]).alias("s"), ints([k for _, k in turns]).alias("k"))).alias("slot_in", "x")).select("x.s", "x.k", "slot_in")
     sources = spark.createDataFrame([(s, code[s], share[s], ceil(found[s] / CELL)) for s in names] or [("", 0, 1, 1)], "_source string, s long, share long, cells long")
 
     carried = [c for c in docs.columns if c not in ("block", "slot", "position")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.col("doc_id").alias("_id"), key.alias("_source"), place(F.col("doc_id")).alias("_place"))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if c in carried and "map<" not in kind])  # maps have no hash
+    at = F.when(F.col("doc_id").isNull(), F.pmod(tie, F.lit(1 << 32))).otherwise(place(F.col("doc_id")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.col("doc_id").alias("_id"), key.alias("_source"), at.alias("_place"), tie.alias("_tie"))
     celled = rows.join(F.broadcast(sources), "_source").withColumn("cell", F.floor(F.col("_place") * F.col("cells") / (1 << 32)))
     sizes = celled.groupBy("s", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = keep(sizes.select("s", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "cells")
-    numbered = celled.join(starts, ["s", "cell"]).withColumn("_k", F.col("start") + F.row_number().over(Window.partitionBy("s", "cell").orderBy("_place", "_id")) - 1)
+    numbered = celled.join(starts, ["s", "cell"]).withColumn("_k", F.col("start") + F.row_number().over(Window.partitionBy("s", "cell").orderBy("_place", "_id", "_tie")) - 1)
     blocked = numbered.withColumn("_block", F.floor(F.col("_k") / block))
     slotted = blocked.withColumn("k", F.col("_block") % F.col("share")).join(F.broadcast(slots), ["s", "k"])
     slot = F.floor(F.col("_block") / F.col("share")) * period + F.col("slot_in")
@@ -103,6 +107,21 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     return ordered.repartitionByRange(F.col("position")).sortWithinPartitions("position").select("_doc.*")
 
 
+def laid_out(rows: DataFrame) -> DataFrame:
+    """rows, read from the files that mixed() was written to, with position (long): the row's place in the mixed order, from 0 without gaps.
+
+    A writer's files are numbered by partition, so the order is that of the files' numbers and of the rows in each. The table of files has a
+    row for each and is numbered in one task.
+    """
+    of = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    number = [F.regexp_extract("_file", pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+    placed = rows.select(F.struct("*").alias("_kept"), of.alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = placed.groupBy("_file").agg(F.count("*").alias("n"))
+    before = Window.orderBy(*number, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keep(files.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")), "files")
+    return placed.join(small(starts, 120), "_file").select("_kept.*", (F.col("_start") + F.col("_at")).alias("position"))
+
+
 def oracle_sql(block: int = BLOCK, period: int = PERIOD) -> str:
     """The same schedule by recursion over the period's slots (up to period / 2 sources)."""
     return f"""

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, pick
+from .common import Scratch, keep, pick, rows_where, small
 from .textstats import FEATURES, text_stats
 
 
@@ -67,8 +67,13 @@ def learn(labelled: DataFrame, features: list[str] = FEATURES, bins: int = 16, m
         """How many cuts lie below the value: bin k holds cut[k-1] < x <= cut[k]."""
         return F.size(F.filter(F.array(*[F.lit(x) for x in cuts[f]]), lambda x: x < F.col(f)))
 
-    coded = keep(rows.select("*", F.array(*[binned(f) for f in features]).alias("_bins")), "rules")
-    rules: list[Rule] = []
+    with Scratch(rows.sparkSession) as scratch:
+        return _cover(scratch.keep(rows.select("*", F.array(*[binned(f) for f in features]).alias("_bins")), "rules"), cuts, max_rules, max_conditions, min_precision, min_cover)
+
+
+def _cover(coded: DataFrame, cuts: dict[str, list[float]], max_rules: int, max_conditions: int, min_precision: float, min_cover: int) -> list[Rule]:
+    """Sequential covering: a rule is grown and pruned on the rows that no earlier rule covers."""
+    features, rules = list(cuts), []
     while len(rules) < max_rules:
         left = coded.where(~reduce(lambda a, b: a | b, [holds(r) for r in rules], F.lit(False)))
         rule: Rule = ()
@@ -129,9 +134,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def learn_from(stats: DataFrame, labels: DataFrame) -> list[Rule]:
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the ids with a quality label, each once; of different labels the larger counts."""
+    return pick(labels, doc_id="long", quality="int").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
+def learn_from(stats: DataFrame, known: DataFrame) -> list[Rule]:
     """Rules against quality = 0 from stats (doc_id and statistics) of all labelled rows; a third of the ids prunes."""
-    known = pick(labels, doc_id="long", quality="int").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return learn(stats.join(known, "doc_id").select((1 - F.col("quality")).alias("bad"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).isin(0).cast("int").alias("part"), *FEATURES))
 
 
@@ -141,14 +150,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null or empty text has no words and fails the base. Repeated rows are judged one by one. Without labels the base alone decides.
     """
     stats = keep(text_stats(pick(docs, doc_id="long", text="string"), "doc_id"), "stats")
-    rules = learn_from(stats, labels)
+    rules = learn_from(stats, labelled(labels))
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), decision(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that quality_rules keeps, with their columns. Whole rows are kept beside their statistics, which are computed
-    once: to learn from (only the statistics are read) and to decide (a filter over stored columns)."""
-    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    stats = keep(text_stats(whole, "_row", "_id"), "stats")
-    rules = learn_from(stats.select(F.col("_id").alias("doc_id"), *FEATURES), labels)
-    return stats.where(~base_failed() & decision(rules).isNull()).select("_row.*")
+    """The rows of documents that quality_rules keeps, with their columns. The labelled texts are read first, to learn from; then one pass over
+    all rows decides, without an exchange and without a written copy."""
+    with Scratch(docs.sparkSession) as scratch:
+        known = scratch.keep(labelled(labels), "known")
+        texts = pick(docs, doc_id="long", text="string").join(small(known.select("doc_id")), "doc_id", "left_semi")
+        rules = learn_from(scratch.keep(text_stats(texts, "doc_id"), "stats"), known)
+    whole = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"))
+    return rows_where(text_stats(whole, "_row"), ~base_failed() & decision(rules).isNull())
