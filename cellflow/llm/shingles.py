@@ -10,7 +10,7 @@ from .common import ship
 
 WIDTH = 5
 #: Bytes of text that are hashed at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _STEP = 0x9E3779B97F4A7C15
 _INVERSE = pow(_STEP, -1, 1 << 64)
 _cache: dict[str, np.ndarray] = {}
