@@ -7,11 +7,12 @@ DataFrame. All but the last return the columns of documents. run() writes each s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellflow.llm.common import keep, pick, table
+from cellflow.llm.common import keep, table
 from cellflow.llm.decontam import drop_contaminated
 from cellflow.llm.jaccard_join import one_of_each
-from cellflow.llm.mixing import mixed
+from cellflow.llm.mixing import laid_out, mixed
 from cellflow.llm.quality_rules import keep_good
 from cellflow.llm.sharding import assign_shards
 
@@ -37,8 +38,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, slot, shard) of each document."""
-    return assign_shards(pick(docs, doc_id="long", source="string"))
+    """(doc_id, source, position, slot, shard) of each document: a shard's documents, by position, are in the target mix."""
+    return assign_shards(laid_out(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "position"))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
