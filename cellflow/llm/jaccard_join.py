@@ -32,7 +32,7 @@ from .shingles import chunks, digest, shingle_sets
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Postings that one reducer's bucket should hold.
-BUCKET = 1_000_000
+BUCKET = 2_000_000
 #: Shingles found this often are ordered last by a table of at most HEAVY_ROWS of them, and their postings aren't exchanged.
 HEAVY_FROM, HEAVY_ROWS = 5_000, 16_384
 #: Postings that a task packs at a time.
@@ -70,18 +70,20 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame({"kind": 1, "doc_id": NO_ID, "n": counts[often], "digest": keys[often].view(np.int64)})
 
 
-def _width(bits: int) -> int:
-    """Bytes of a shingle's hash that its bucket doesn't tell."""
-    return -(-(64 - bits) // 8)
+def _low(bits: int) -> int:
+    """Bits of a shingle's hash that a posting sends beside its bucket: 48, or the fewer that the bucket doesn't tell. With 2 ** bits buckets a
+    shingle is 48 + bits bits, so that what tells shingles apart grows with their number."""
+    return min(48, 64 - bits)
 
 
 def _poster(bits: int, heavy: np.ndarray):
-    """Postings of different sets, packed into one row for each bucket; those of heavy shingles go, ranked last, to any bucket."""
+    """Postings of different sets, packed into one row for each bucket; those of heavy shingles go, ranked last, to any bucket. A row has the
+    texts' digests, how many postings each has (255 at most, then it is named again), and the postings' low 48 bits (heavy ones': all)."""
 
     def pack(different: dict[int, np.ndarray]) -> pd.DataFrame:
-        ids, sizes = np.fromiter(different, np.int64, len(different)), np.array([len(s) for s in different.values()], np.int32)
-        keys, owner = np.concatenate(list(different.values())), np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        ids = np.fromiter(different, np.int64, len(different))
+        keys, owner = np.concatenate(list(different.values())), np.repeat(np.arange(len(ids), dtype=np.int32), [len(s) for s in different.values()])
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
         hot = np.isin(keys, heavy) if len(heavy) else np.zeros(len(keys), bool)
         rows = []
         for is_hot in (False, True):
@@ -90,15 +92,21 @@ def _poster(bits: int, heavy: np.ndarray):
                 continue
             if is_hot:
                 # A text's heavy shingles stay together, and its copies in other tasks meet them there.
-                bucket[sel] = (ids.view(np.uint64)[owner[sel]] % np.uint64(1 << bits)).astype(np.int64)
+                bucket[sel] = (ids.view(np.uint64)[owner[sel]] % np.uint64(1 << bits)).astype(np.int32)
             sel = sel[np.argsort(bucket[sel], kind="stable")]
             cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket[sel])) + 1, [len(sel)]))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 part = sel[a:b]
                 own, count = np.unique(owner[part], return_counts=True)
+                times = -(-count // 255)
+                if times.max() > 1:
+                    own, last = np.repeat(own, times), np.cumsum(times) - 1
+                    split = np.full(len(own), 255)
+                    split[last] = count - 255 * (times - 1)
+                    count = split
                 low = keys[part].astype("<u8").view(np.uint8).reshape(-1, 8)
-                rows.append((int(bucket[part[0]]), is_hot, ids[own].tobytes(), sizes[own].tobytes(), count.astype(np.int32).tobytes(), low[:, : 8 if is_hot else _width(bits)].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "heavy", "ids", "sizes", "counts", "keys"])
+                rows.append((int(bucket[part[0]]), is_hot, ids[own].tobytes(), count.astype(np.uint8).tobytes(), low[:, : 8 if is_hot else 6].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "heavy", "ids", "counts", "keys"])
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         different, size = {}, 0
@@ -119,23 +127,24 @@ def _poster(bits: int, heavy: np.ndarray):
 
 def _collector(bits: int):
     """Of a bucket's postings those whose shingle two texts or more have, one packed row for each text."""
+    kept = _low(bits)
+    mask = np.uint64((1 << kept) - 1)
 
     def collect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for is_hot, part in pdf.groupby("heavy"):
             ids = np.concatenate([np.frombuffer(x, np.int64) for x in part["ids"]])
-            sizes = np.concatenate([np.frombuffer(x, np.int32) for x in part["sizes"]])
-            counts = np.concatenate([np.frombuffer(x, np.int32) for x in part["counts"]])
+            counts = np.concatenate([np.frombuffer(x, np.uint8) for x in part["counts"]])
             if is_hot:
                 keys = np.concatenate([np.frombuffer(x, "<u8") for x in part["keys"]])
+                keys = (keys & mask) | ((keys >> np.uint64(64 - bits)) << np.uint64(kept))
             else:
-                width = _width(bits)
-                low = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in part["keys"]])
+                low = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 6) for x in part["keys"]])
                 keys = np.zeros((len(low), 8), np.uint8)
-                keys[:, :width] = low
-                top = np.uint64(64 - bits)
-                keys = (keys.view("<u8").ravel() & ((np.uint64(1) << top) - np.uint64(1))) | (np.uint64(key[0]) << top)
-            texts, first, code = np.unique(ids, return_index=True, return_inverse=True)
+                keys[:, :6] = low
+                del low
+                keys = (keys.view("<u8").ravel() & mask) | (np.uint64(key[0]) << np.uint64(kept))
+            texts, code = np.unique(ids, return_inverse=True)
             owner = np.repeat(code.astype(np.int32), counts)
             order = np.lexsort((owner, keys))
             keys, owner = keys[order], owner[order]
@@ -152,8 +161,8 @@ def _collector(bits: int):
             order = np.argsort(owner, kind="stable")
             packed, owner = packed[order], owner[order]
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-            out += [(int(texts[t]), int(sizes[first[t]]), packed[a:b].tobytes(), int(b - a)) for t, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
-        return pd.DataFrame(out, columns=["digest", "n", "packed", "shared"])
+            out += [(int(texts[t]), packed[a:b].tobytes(), int(b - a)) for t, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+        return pd.DataFrame(out, columns=["digest", "packed", "shared"])
 
     return collect
 
@@ -162,11 +171,11 @@ def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A text's shared shingles; the rarest of them, of which any partner has one; and how common its shingles are (for the choice of pivots)."""
     for pdf in batches:
         out = []
-        for text, n, parts in zip(pdf["digest"], pdf["n"], pdf["parts"], strict=True):
+        for text, n, parts in zip(pdf["rep"], pdf["n"], pdf["parts"], strict=True):
             p = np.frombuffer(b"".join(parts), _POSTING)
             order = np.lexsort((p["key"], p["rank"]))[: max(0, len(p) - need(n) + 1)]
             out.append((text, n, np.sort(p["key"]), p["key"][order], float(p["rank"].astype(float).sum() / n)))
-        yield pd.DataFrame(out, columns=["digest", "n", "keys", "rare", "common"])
+        yield pd.DataFrame(out, columns=["rep", "n", "keys", "rare", "common"])
 
 
 def linked(common: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int):
@@ -268,13 +277,15 @@ def _cells(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, Dat
     heavy = scanned.where("kind = 1").groupBy("digest").agg(F.sum("n").alias("found")).where(F.col("found") >= HEAVY_FROM).orderBy(F.desc("found"), "digest").limit(HEAVY_ROWS)
     heavy_keys = np.sort(np.array([r["digest"] for r in heavy.collect()], np.int64).view(np.uint64))
     total = per_doc.agg(F.sum("n")).first()[0] or 0
-    bits = max(5, math.ceil(math.log2(max(1, total / BUCKET))))
+    bits = max(6, math.ceil(math.log2(max(1, total / BUCKET))))  # 64 buckets at least, so that many tasks share the work
 
-    posted = rows.mapInPandas(_poster(bits, heavy_keys), "bucket long, heavy boolean, ids binary, sizes binary, counts binary, keys binary")
-    shared = posted.groupBy("bucket").applyInPandas(_collector(bits), "digest long, n long, packed binary, shared long")
-    per_set = shared.groupBy("digest", "n").agg(F.collect_list("packed").alias("parts"), F.sum("shared").alias("shared")).where(100 * F.col("shared") >= PERCENT * F.col("n"))
+    posted = rows.mapInPandas(_poster(bits, heavy_keys), "bucket long, heavy boolean, ids binary, counts binary, keys binary")
+    shared = posted.groupBy("bucket").applyInPandas(_collector(bits), "digest long, packed binary, shared long")
+    per_set = shared.groupBy("digest").agg(F.collect_list("packed").alias("parts"), F.sum("shared").alias("shared"))
+    # Texts that share too few of their shingles with any other have no partner.
+    enough = per_set.join(sets.select("digest", "n", "rep"), "digest").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("rep", "n", "parts")
     with small_batches(docs.sparkSession):
-        near = scratch.keep(per_set.select("digest", "n", "parts").mapInPandas(_choose, "digest long, n long, keys array<bigint>, rare array<bigint>, common double").join(sets.select("digest", "n", "rep"), ["digest", "n"]).select("rep", "n", "keys", "rare", "common"), "near")
+        near = scratch.keep(enough.mapInPandas(_choose, "rep long, n long, keys array<bigint>, rare array<bigint>, common double"), "near")
 
     rare = scratch.keep(near.select(F.explode("rare").alias("key"), "rep", "n", "common"), "rare")
     pivots = rare.groupBy("key").agg(F.max(F.struct("common", -F.col("rep"), "n")).alias("p"), F.count("*").alias("texts")).where("texts > 1").select("key", (-F.col("p.col2")).alias("cell"))
@@ -422,4 +433,26 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
 
 
+def _pairs_sql() -> str:
+    """Shingles as strings, and all linked pairs of documents by counting the shingles that they share."""
+    return f"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l)"""
+
+
+def oracle_sql() -> str:
+    """Components by following links from every document (ids are unique here)."""
+    return f"""WITH RECURSIVE {_pairs_sql()},
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1"""
+
+
+def links_sql() -> str:
+    return f"""WITH {_pairs_sql()}, k AS (SELECT a AS doc_id, count(*) AS k FROM e GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(k, 0) AS n_links FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
 ship(__name__)
