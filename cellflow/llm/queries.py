@@ -60,4 +60,4 @@ def op10_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language, op3_mix_sources, op4_toxicity, op5_warc, op6_pii, op7_jaccard_join, op7_links, op8_quality_classifier, op9_sharding, op10_decontamination, op10_near_matches)}
 
-ORACLES: dict[str, Callable[[], str]] = {"op3_mix_sources": mixing.oracle_sql, "op5_warc": warc.oracle_sql, "op9_sharding": sharding.oracle_sql, "op10_decontamination": decontam.oracle_sql}
+ORACLES: dict[str, Callable[[], str]] = {"op3_mix_sources": mixing.oracle_sql, "op5_warc": warc.oracle_sql, "op7_jaccard_join": jaccard_join.oracle_sql, "op7_links": jaccard_join.links_sql, "op9_sharding": sharding.oracle_sql, "op10_decontamination": decontam.oracle_sql, "op10_near_matches": decontam.near_sql}
