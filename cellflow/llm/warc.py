@@ -12,7 +12,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -24,6 +24,8 @@ from .common import keep, pick, shared_dir, ship
 
 #: Compressed bytes after which a file is full, and payload bytes from which copies become revisits.
 ROLL, REVISIT_FROM = 64_000_000, 100
+#: Bytes that are read at a time, that are decompressed at a time, and of archives that a task reads.
+BLOCK, STEP, TASK = 4_000_000, 16_384, 64_000_000
 #: Fixed values of the WARC format.
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The date of all records: equal input gives equal files.
@@ -59,12 +61,31 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a file's bytes; each is checked against its block digest, and a response also against its payload digest and length."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+def members(blocks: Iterable[bytes]) -> Iterator[bytes]:
+    """The gzip members of a file that is read in blocks. What is left of a block after a member's end is a view, so that many small members
+    cost no copies of what follows them."""
+    z, some = None, False
+    out: list[bytes] = []
+    for block in blocks:
+        view = memoryview(block)
+        while len(view):
+            if z is None:
+                z, some, out = zlib.decompressobj(31), False, []
+            step = view[:STEP]
+            out.append(z.decompress(step))
+            some = True
+            used = len(step) - len(z.unused_data)
+            view = view[used:]
+            if z.eof:
+                yield b"".join(out)
+                z = None
+    if z is not None and some:
+        raise ValueError("the file ends inside a record")
+
+
+def parse(blocks: Iterable[bytes]) -> Iterator[dict]:
+    """The records of a file in blocks; each is checked against its block digest, and a response also against its payload digest and length."""
+    for raw in members(blocks):
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         h = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
@@ -81,16 +102,17 @@ def parse(data: bytes) -> Iterator[dict]:
 
 
 def records_of(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, first): first is the page that holds the payload where this one is a copy, else null. html isn't exchanged for that."""
-    rows = pick(pages, page_id="long", url="string", html="string").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
-    return rows
+    """(page_id, url, html, digest) of each page; a null url or html is empty. digest is the SHA-256 of the html in UTF-8."""
+    rows = pick(pages, page_id="long", url="string", html="string").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    return rows.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
 
 
 def write_warc(pages: DataFrame, path: str, partitions: int | None = None, roll: int = ROLL) -> DataFrame:
     """Write a record for each page below path and commit; returns the manifest (file, records, bytes, first_page, last_page).
 
     Of pages with equal payloads of at least REVISIT_FROM bytes that with the smallest page_id is the response (of rows that share it, one);
-    a null payload is empty, a null url too, a null page_id counts as the smallest and is written as such. An empty table gives no files.
+    a null payload is empty, a null url too, a null page_id counts as the smallest and is written as such (read back it is null, as is refers_to
+    of its copies). An empty table gives no files. Payloads of any length are one record.
     """
     spark = pages.sparkSession
     rows = records_of(pages).withColumn("page_id", F.coalesce("page_id", F.lit(NO_ID)))
@@ -153,14 +175,21 @@ def write_warc(pages: DataFrame, path: str, partitions: int | None = None, roll:
 def read_warc(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """The records of the files that the manifest names: page_id, url, payload (binary, null for a revisit), payload_bytes, payload_digest, record_type, refers_to."""
     names = manifest if manifest is not None else spark.read.schema("file string, records long, bytes long, first_page long, last_page long").json(f"{path}/manifest.json")
+    total, files = names.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, min(files, max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK))))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(path)
+
+        def blocks(f) -> Iterator[bytes]:
+            while block := f.read(BLOCK):
+                yield block
+
         for pdf in batches:
             for name in pdf["file"]:
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     rows, size = [], 0
-                    for r in parse(f.read()):  # a file is about ROLL bytes
+                    for r in parse(blocks(f)):
                         rows.append(r)
                         size += r["payload_bytes"]
                         if size > 8_000_000:
@@ -168,7 +197,9 @@ def read_warc(spark: SparkSession, path: str, manifest: DataFrame | None = None)
                             rows, size = [], 0
                     yield _frame(rows)
 
-    out = names.select("file").repartition(F.col("file")).mapInPandas(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # Ranges of a hash deal the files evenly to that many tasks, which a stated number keeps from being merged.
+    dealt = names.select("file", F.hash("file").alias("_h")).repartitionByRange(tasks, "_h", "file").select("file")
+    out = dealt.mapInPandas(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.select(known("page_id"), "url", "payload", "payload_bytes", "payload_digest", "record_type", known("refers_to"))
 
