@@ -18,8 +18,11 @@ from .common import label_fold, pick, ship
 from .shingles import chunks
 
 WINDOW, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 12, 8
-#: About so many documents a language are fitted on (chosen by hash), each by a stretch of so many characters at a place chosen by hash.
-TRAIN_DOCS, TRAIN_CHARS = 400, 640
+#: The sample that is fitted on: about so many documents a language, chosen by hash, and of all windows of their whole texts at most so many
+#: a language, chosen by hash too.
+TRAIN_DOCS, TRAIN_WINDOWS = 400, 2_000
+#: More values of lang than this are an error: a softmax has one output for each.
+MOST_LANGS = 10_000
 #: 0 for a space and all that is no letter, 1 to 26 for a-z, 27 on for the bytes of other characters.
 CODES = 27 + 128
 _ORDER = np.zeros(256, np.int64)
@@ -88,12 +91,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def letters(x: np.ndarray) -> np.ndarray:
+    """Letters of each window."""
+    return (x > 0).sum(1)
+
+
 def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 5, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Net:
-    """Adam on windows x with language numbers y. Gradients pass through the pooled positions alone."""
+    """Adam on windows x with language numbers y, each weighed by its letters. Gradients pass through the pooled positions alone."""
     rng = np.random.default_rng(seed)
     net = Net(langs, rng.normal(0, 0.5, (CODES, DIM)), [rng.normal(0, (2 / (w * DIM)) ** 0.5, (w * DIM, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], rng.normal(0, 0.2, (FILTERS * len(WIDTHS), len(langs))), np.zeros(len(langs)))
     state: dict[int, list] = {}
-    turn = 0
+    turn, weight = 0, letters(x).astype(float)
     for _ in range(epochs):
         for chosen in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
             c, turn = x[chosen], turn + 1
@@ -108,7 +116,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 5, batch
             h = np.concatenate(pooled, 1)
             p = softmax(h @ net.out + net.out_bias)
             p[np.arange(len(c)), y[chosen]] -= 1
-            p /= len(c)
+            p *= (weight[chosen] / max(weight[chosen].sum(), 1e-9))[:, None]
             grads = [(net.out, h.T @ p), (net.out_bias, p.sum(0))]
             back, ge, rows = (p @ net.out.T) * (h > 0), np.zeros_like(net.embed), np.arange(len(c))[:, None]
             for k, w in enumerate(WIDTHS):
@@ -126,30 +134,42 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 5, batch
     return net.fold()
 
 
-def fit_language(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Net | None:
-    """Fitted on about per_lang documents of each language outside the held-out fold; None if no document has a language."""
+def fit_language(docs: DataFrame, per_lang: int = TRAIN_DOCS, windows_per_lang: int = TRAIN_WINDOWS) -> Net | None:
+    """Fitted on about per_lang documents of each language outside the held-out fold; None if no document has a language.
+
+    Texts are cut into windows on the executors; the driver gets about windows_per_lang windows of WINDOW bytes a language (twice as many at
+    most), chosen by a hash of their places, whatever the texts' lengths. Windows without a letter teach nothing and are left out.
+    """
     known = pick(docs, doc_id="long", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(label_fold(F.col("doc_id"), 4) != 2)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(counts)
+    size = F.ceil(F.octet_length("text") / WINDOW)
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("w")).limit(MOST_LANGS + 1).collect()
+    langs = sorted(r["lang"] for r in found)
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"lang has more than {MOST_LANGS} values")
     if not langs:
         return None
-    share = F.lit(0.0)
-    for k in langs:
-        share = F.when(F.col("lang") == k, min(1.0, per_lang / counts[k])).otherwise(share)
-    spot = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1))).cast("int") + 1
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < share * (1 << 20)).select("doc_id", "lang", F.substring("text", spot, F.lit(TRAIN_CHARS)).alias("text"))
-    sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_lang * len(langs)).collect()
-    x, count = windows([r["text"].encode("utf-8", "replace") for r in sample])
-    y = np.repeat([langs.index(r["lang"]) for r in sample], count)
-    enough = (x > 0).sum(1) >= 24
-    return train(x[enough], y[enough], langs)
+    # Shares of documents, and then of the windows that are to be expected in those.
+    share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in found}
+    part = {r["lang"]: min(1.0, windows_per_lang / max(1.0, r["w"] * share[r["lang"]])) for r in found}
+    of = lambda shares: F.try_element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, shares[k])]), "lang")
+    under = lambda h, shares: F.pmod(h, F.lit(1 << 20)) < of(shares) * (1 << 20)
+    chosen = known.where(under(F.xxhash64("doc_id", F.lit(4)), share)).withColumn("raw", F.encode("text", "utf-8"))
+    cut = chosen.where(F.octet_length("raw") > 0).select("doc_id", "lang", "raw", F.explode(F.sequence(F.lit(0), F.ceil(F.octet_length("raw") / WINDOW).cast("int") - 1)).alias("k"))
+    some = cut.where(under(F.xxhash64("doc_id", "k", F.lit(5)), part)).select("lang", F.xxhash64("doc_id", "k").alias("h"), F.substring("raw", F.col("k") * WINDOW + 1, F.lit(WINDOW)).alias("piece"))
+    sample = [(r["lang"], bytes(r["piece"])) for r in some.orderBy("h", "lang", "piece").limit(2 * windows_per_lang * len(langs)).collect()]
+    x, _ = windows([b for _, b in sample]) if sample else (np.zeros((0, WINDOW), np.int64), None)
+    taught = letters(x) > 0
+    if not taught.any():
+        return None
+    y = np.array([langs.index(k) for k, _ in sample])
+    return train(x[taught], y[taught], langs)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out (its fold of four is 2), lang_pred, score (the mean probability of lang_pred).
 
     A text that is null or has no letter is `und` with score 0. Other letters than the learned languages use still get the likeliest of them.
-    Repeated rows are judged alike. If no document has a language, all are `und`.
+    Repeated rows are judged alike. If no document has a language (or none with one has a letter), all are `und`.
     """
     net = fit_language(docs)
 
@@ -157,7 +177,7 @@ def identify(docs: DataFrame) -> DataFrame:
         langs, scores = [], []
         for _, raw in chunks(texts.tolist()):
             x, count = windows(raw)
-            p = net.predict(x) * ((x > 0).sum(1)[:, None] + 1e-6)
+            p = net.predict(x) * (letters(x)[:, None] + 1e-6)
             mean = np.add.reduceat(p, np.concatenate(([0], np.cumsum(count)[:-1])), axis=0)
             mean /= mean.sum(1, keepdims=True)
             best = mean.argmax(1)
