@@ -24,8 +24,10 @@ from .shingles import chunks
 
 #: Labelled rows of each label that are learned from at most (those whose ids hash lowest).
 TRAIN_ROWS = 2_000
-#: Entries of the lexicon at most; the shortest word that may be misspelt and the lengths of stems, in bytes; words on each side of a match.
-LEXICON, FUZZY_FROM, STEM, CONTEXT = 64, 5, (5, 10), 6
+#: The shortest word that may be misspelt and the lengths of stems, in bytes; words on each side of a match.
+FUZZY_FROM, STEM, CONTEXT = 5, (5, 10), 6
+#: An entry is found so many times as often in texts with label 1 as in the others, and in so many of the former: four, or one in fifty.
+RATE, LEAST, SHARE = 8, 4, 50
 #: Words that report what others say, and quotation marks (UTF-8).
 REPORTS = [b"said", b"says", b"quote", b"quoted", b"called", b"wrote", b"dit", b"sagte", b"dijo"]
 QUOTES = ['"', "“", "”", "«", "»", "„"]
@@ -129,8 +131,9 @@ def compile_lexicon(words: list[bytes], stems: list[bytes]) -> Matcher:
     return Matcher(classes, np.array(table, np.int32), np.array(accept, np.uint8))
 
 
-def learn_lexicon(toxic: list[bytes], other: list[bytes], most: int = LEXICON) -> tuple[list[bytes], list[bytes]]:
-    """Whole words and stems that texts with label 1 have far more often than the others."""
+def learn_lexicon(toxic: list[bytes], other: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """All whole words and stems that texts with label 1 have RATE times as often as the others. Each is in a SHARE-th of the former at least, so
+    there are at most SHARE times as many as such a text has on average."""
 
     def words(raw: bytes) -> set[bytes]:
         low, starts, ends, _ = normal([raw])
@@ -143,15 +146,15 @@ def learn_lexicon(toxic: list[bytes], other: list[bytes], most: int = LEXICON) -
     p, n = Counter(), Counter()
     for raw in toxic:
         p.update(keys(words(raw)))
-    few = max(4, len(toxic) // 100)
+    few = max(LEAST, len(toxic) // SHARE)
     p = Counter({k: v for k, v in p.items() if v >= few})
     for raw in other:
         n.update(k for k in keys(words(raw)) if k in p)
     rate = {k: ((v + 0.5) / (len(toxic) + 1)) / ((n[k] + 0.5) / (len(other) + 1)) for k, v in p.items()}
-    ranked = sorted((k for k in p if rate[k] >= 8), key=lambda k: (-p[k] * np.log(rate[k]), k[1], -len(k[0]), k[0]))
+    ranked = sorted((k for k in p if rate[k] >= RATE), key=lambda k: (-p[k] * np.log(rate[k]), k[1], -len(k[0]), k[0]))
     chosen: list[tuple[bytes, bool]] = []
     for word, stem in ranked:
-        if len(chosen) < most and not any(word.startswith(w) and (s or w == word) for w, s in chosen) and not any(stem and w.startswith(word) for w, s in chosen):
+        if not any(word.startswith(w) and (s or w == word) for w, s in chosen) and not any(stem and w.startswith(word) for w, s in chosen):
             chosen.append((word, stem))
     return [w for w, s in chosen if not s], [w for w, s in chosen if s]
 
@@ -250,11 +253,13 @@ def fit_matches(matcher: Matcher, toxic: list[bytes], other: list[bytes]) -> Mod
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fitted on at most `rows` labelled rows of each label whose fold of five isn't 0. Half of them give the lexicon, all the weights."""
+    """Fitted on at most `rows` labelled rows of each label whose fold of five isn't 0. All of them give both the lexicon and the weights.
+    Of rows that share an id the one with the largest text counts, so 2 * rows texts reach the driver at most."""
     known = pick(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic in (0, 1)").where(label_fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     one = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     ids = one(0).unionByName(one(1))  # 2 * rows ids at most
-    sample = sorted(pick(docs, doc_id="long", text="string").join(F.broadcast(ids), "doc_id").collect(), key=lambda r: r["doc_id"])
+    texts = pick(docs, doc_id="long", text="string").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+    sample = sorted(texts.collect(), key=lambda r: r["doc_id"])
     raw, y = [(r["text"] or "").encode("utf-8", "replace") for r in sample], np.array([r["y"] for r in sample], float)
     toxic, other = [b for b, k in zip(raw, y, strict=True) if k], [b for b, k in zip(raw, y, strict=True) if not k]
     matcher = compile_lexicon(*learn_lexicon(toxic, other))
