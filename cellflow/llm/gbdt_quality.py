@@ -80,9 +80,10 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, bins: int
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
-    """Fitted on at most `rows` rows of stats with a quality label whose fold of five isn't 0."""
+    """Fitted on at most `rows` rows of stats with a quality label whose fold of five isn't 0, those whose ids hash lowest (rows of one id by their
+    statistics, so that the sample is the same each time). Without rows the forest is a constant."""
     known = pick(labels, doc_id="long", quality="int").where("doc_id is not null and quality in (0, 1)").where(label_fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    sample = stats.join(known, "doc_id").select("y", *FEATURES, F.xxhash64("doc_id").alias("h")).orderBy("h").limit(rows).toPandas()
+    sample = stats.join(known, "doc_id").select("y", *FEATURES, F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", *FEATURES).limit(rows).toPandas()
     return fit(sample[FEATURES].to_numpy(float), sample["y"].to_numpy(float))
 
 

@@ -23,6 +23,8 @@ BLOCK = 16
 PERIOD = 1000
 #: Documents that a cell of a source holds on average.
 CELL = 4096
+#: More sources than this are an error: the schedule has a share for each, and is made on the driver.
+MOST_SOURCES = 10_000
 
 
 def shares(weights: dict[str, int], period: int = PERIOD) -> dict[str, int]:
@@ -69,7 +71,9 @@ def mix_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int
     """
     spark = docs.sparkSession
     key = F.coalesce("source", F.lit(""))
-    found = {r["s"]: r["n"] for r in docs.select(key.alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}  # a row for each source
+    found = {r["s"]: r["n"] for r in docs.select(key.alias("s")).groupBy("s").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     target = tempered(found) if weights is None else {s: weights.get(s, 0) for s in found}
     period = max(period, 2 * len(found))
     share = shares(target, period)

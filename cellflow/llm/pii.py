@@ -110,7 +110,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone (long), base_sha256, spans (all kinds), found (the same as an array of structs).
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone (long), base_sha256, spans (all kinds, as kind:start:end).
 
     A null text is empty; without spans, spans is empty and base_sha256 that of the empty string. Repeated rows are searched one by one.
     """

@@ -5,11 +5,12 @@ import gzip
 import hashlib
 import os
 import re
+import time
 
 import numpy as np
 import pytest
 
-from cellflow.llm import decontam, gbdt_quality, jaccard_join, lang_cnn, mixing, pii, quality_rules, sharding, toxicity, warc
+from cellflow.llm import common, decontam, gbdt_quality, jaccard_join, lang_cnn, mixing, pii, quality_rules, sharding, toxicity, warc
 
 LONG = " ".join(f"w{k % 977}" for k in range(30_000))
 BASE = " ".join(f"alpha{k}" for k in range(60))
@@ -30,18 +31,27 @@ def collect(df):
     return [r.asDict() for r in df.collect()]
 
 
+def brute_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    many = collections.Counter(win)
+    repeated = len({i + k for i, x in enumerate(win) if many[x] > 1 for k in range(5)})
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeated, len(w) < 10 or 100 * repeated > 20 * len(w)
+
+
 def test_quality_rules_base(spark, docs):
+    """Each row by itself, all five counts and the verdict of the base, beside clashing columns."""
+    odd = [(20, "a #b\n\n a #b\nline\nline\n \nline", "en", "a", None), (21, "x\u00a0y \u2003 z\x0bq\x85r $$ <é>", None, None, None), (22, "one two three four five " * 3, "en", "b", "clash")]
+    d = spark.createDataFrame(ROWS + odd, SCHEMA)
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (6, None, None)], LABELS)
-    out = collect(quality_rules.quality_rules(docs, labels))
-    assert len(out) == len(ROWS)
-    for text in {r[1] for r in ROWS}:
-        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-        many = collections.Counter(win)
-        repeated = len({i + k for i, x in enumerate(win) if many[x] > 1 for k in range(5)})
-        assert any((r["n_words"], r["word_chars"], r["n_repeat_words"], r["base_failed"]) == (len(w), sum(map(len, w)), repeated, len(w) < 10 or 100 * repeated > 20 * len(w)) for r in out)
+    out = collect(quality_rules.quality_rules(d, labels))
+    got = collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in out)
+    assert got == collections.Counter((r[0], *brute_counts(r[1])) for r in ROWS + odd)
+    assert all(r["kept"] != r["base_failed"] for r in out)  # labels of one kind teach no rule
     assert quality_rules.quality_rules(docs.limit(0), labels).count() == 0
-    assert quality_rules.keep_good(docs, labels).columns == docs.columns
+    assert quality_rules.keep_good(docs, labels).columns == docs.columns and quality_rules.keep_good(docs.limit(0), labels).count() == 0
 
 
 def test_rules_are_learned(spark):
@@ -83,9 +93,13 @@ def test_jaccard_edges(spark, docs):
     assert sorted(r["doc_id"] for r in left if r["doc_id"] and r["text"]) == [1, 6, 7, 8]
 
 
-@pytest.mark.parametrize("heavy", [5_000, 8])
-def test_jaccard_chains(spark, monkeypatch, heavy):
-    monkeypatch.setattr(jaccard_join, "HEAVY_FROM", heavy)
+@pytest.mark.parametrize("limits", [{}, {"HEAVY_FROM": 8}, {"BOUND": 6, "BLOCK": 4}, {"BUCKET": 0.01, "POSTED": 50}])
+def test_jaccard_chains(spark, monkeypatch, limits):
+    """Chains of families, also with regions that are split again and blocks of few texts, and with buckets of more than 16 bits."""
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    if "BOUND" in limits:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rng = np.random.default_rng(3)
     rows, k = [], 0
     for family in range(12):
@@ -99,6 +113,25 @@ def test_jaccard_chains(spark, monkeypatch, heavy):
     same_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
 
 
+def test_jaccard_regions_are_split(spark, monkeypatch):
+    """One cell (a shared template) of many small families: it is split about pivots, again and again, and no link is lost."""
+    for name, value in {"BOUND": 12, "BLOCK": 5}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng, rows = np.random.default_rng(8), []
+    for family in range(25):
+        own = [f"f{family}w{j}" for j in range(30)]
+        for _ in range(4):
+            words = list(own)
+            words[rng.integers(30)] = f"n{len(rows)}"
+            rows.append((len(rows), " ".join([*words, *[f"t{j}" for j in range(14)]])))
+    depth = []
+    split = jaccard_join._split
+    monkeypatch.setattr(jaccard_join, "_split", lambda *a: (depth.append(a[3]), split(*a))[1])
+    monkeypatch.setattr(jaccard_join, "need", lambda n: 1)  # shared templates are then in no one's rarest shingles, but all texts meet in a cell
+    same_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+    assert max(depth) >= 2
+
+
 def test_jaccard_links(spark, docs, monkeypatch):
     """Each linked pair once and each row's number of links, over families larger than a block."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
@@ -134,11 +167,11 @@ def test_decontamination_edges(spark, docs):
 
 
 def test_near_match(spark):
+    """One word of ten changed, at every place (the changed word is then the rarest in the corpus or absent from it)."""
     w = [f"q{k}" for k in range(10)]
-    d = spark.createDataFrame([(1, " ".join([*w[:4], "other", *w[5:]]))], "doc_id long, text string")
-    r = collect(decontam.decontaminate(d, spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")))[0]
-    # The anchor, the first of the equally rare words that occur, is one that both have.
-    assert r["n_hit"] == 0
+    d = spark.createDataFrame([(k, " ".join([*w[:k], "other", *w[k + 1 :]])) for k in range(10)] + [(99, "q0 q0 q0")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in collect(decontam.decontaminate(d, spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")))}
+    assert all(out[k]["n_hit"] == 0 and out[k]["n_near_items"] == 1 for k in range(10)) and out[99]["n_near_items"] == 0
 
 
 def brute_near(doc, item, near=decontam.NEAR, size=decontam.WINDOW):
@@ -157,7 +190,10 @@ def brute_near(doc, item, near=decontam.NEAR, size=decontam.WINDOW):
     return False
 
 
-def test_near_matches_as_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_near_matches_as_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rng = np.random.default_rng(6)
     items = [[f"v{k}" for k in rng.integers(0, 60, rng.integers(4, 90))] for _ in range(15)]
     docs = []
@@ -199,6 +235,23 @@ def test_mixing_edges(spark, docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == len(ROWS)
 
 
+def test_mixing_clashing_columns_and_order(spark, docs, tmp_path, monkeypatch):
+    """Columns named as the operator's are replaced; rows without ids or alike have places of their own; files give the order back."""
+    clash = docs.selectExpr("*", "'s' AS slot", "'b' AS block", "'p' AS position", "map('a', 1) AS m")
+    out = collect(mixing.mix_order(clash))
+    assert all(isinstance(r[c], int) for r in out for c in ("slot", "block", "position")) and len({r["position"] for r in out}) == len(ROWS) and out[0]["m"] == {"a": 1}
+    again = collect(mixing.mix_order(clash.repartition(3)))
+    key = lambda rows: sorted((r["position"], str(r["doc_id"]), str(r["text"])[:30]) for r in rows)
+    assert key(out) == key(again)
+    mixing.mixed(clash.drop("m")).write.parquet(f"{tmp_path}/mixed")
+    back = collect(mixing.laid_out(spark.read.parquet(f"{tmp_path}/mixed").drop("position")))
+    assert [str(r["doc_id"]) for r in sorted(back, key=lambda r: r["position"])] == [str(r["doc_id"]) for r in sorted(out, key=lambda r: r["position"])]
+    assert sorted(r["position"] for r in back) == list(range(len(ROWS)))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs)
+
+
 def test_sharding(spark, docs):
     names = [f"s{k}" for k in range(7)]
     a, b = sharding.lookup_table(names, 4099), sharding.lookup_table(names[:-1], 4099)
@@ -223,6 +276,68 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in collect(lang_cnn.identify(docs.drop("lang")))} == {"und"}
 
 
+def test_language_short_texts_and_edges(spark, docs):
+    """Short texts alone teach too; a very long text is read; repeated rows, null ids, empty tables and other columns of clashing names."""
+    rows = [(k, ["the cat sat", "der Hund lief"][k % 2], ["en", "de"][k % 2]) for k in range(400)]
+    d = spark.createDataFrame([*rows, (900, "der Hund lief schnell " * 9_000, None), (901, "the cat sat there " * 9_000, None), (None, "the cat", "en"), (0, "the cat sat", "en")], "doc_id long, text string, lang string")
+    out = collect(lang_cnn.identify(d.selectExpr("*", "'x' AS score", "1 AS held_out", "2 AS p")))
+    by = {r["doc_id"]: r["lang_pred"] for r in out}
+    assert len(out) == 404 and by[900] == "de" and by[901] == "en" and np.mean([by[k] == x for k, _, x in rows]) > 0.95
+    assert lang_cnn.identify(d.limit(0)).count() == 0
+    assert {r["lang_pred"] for r in collect(lang_cnn.identify(spark.createDataFrame([(1, "", "en"), (2, "...", "de")], "doc_id long, text string, lang string")))} == {"und"}
+
+
+def test_language_net_as_direct_convolution():
+    """The folded tables against filters that slide over the embedded bytes."""
+    rng = np.random.default_rng(4)
+    net = lang_cnn.train(rng.integers(0, lang_cnn.CODES, (40, lang_cnn.WINDOW)), rng.integers(0, 3, 40), ["a", "b", "c"], epochs=1)
+    raw = ["Über straße, ÉTÉ 12 the".encode(), b"x" * 300, b""]
+    x, count = lang_cnn.windows(raw)
+    assert count.tolist() == [1, 3, 1]
+    want = []
+    for row in x:
+        pooled = []
+        for w, f, b in zip(lang_cnn.WIDTHS, net.filters, net.bias, strict=True):
+            z = [np.concatenate([net.embed[c] for c in row[k : k + w]]) @ f + b for k in range(lang_cnn.WINDOW - w + 1)]
+            pooled.append(np.maximum(np.max(z, axis=0), 0))
+        z = np.concatenate(pooled) @ net.out + net.out_bias
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.allclose(net.predict(x), want, atol=1e-4)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_toxicity_automaton_as_edit_distance():
+    """Every word against every entry, by the table of edit distances."""
+    rng = np.random.default_rng(11)
+    make = lambda n: "".join(rng.choice(list("abc"), n))
+    words, stems = sorted({make(rng.integers(3, 9)) for _ in range(25)}), sorted({make(5) for _ in range(4)})
+    m = toxicity.compile_lexicon([w.encode() for w in words], [s.encode() for s in stems])
+    texts = list({make(rng.integers(1, 11)) for _ in range(2_000)} | set(words) | {w + "z" for w in words} | {w[1:] for w in words})
+    got = m.run(*toxicity.normal([" ".join(texts).encode()])[:3]).tolist()
+    for text, kind in zip(texts, got, strict=True):
+        exact, stem = text in words, any(text.startswith(s) for s in stems)
+        near = any(len(w) >= toxicity.FUZZY_FROM and edits(w, text) <= 1 for w in words)
+        assert kind == (toxicity.EXACT if exact else toxicity.PREFIX if stem else toxicity.FUZZY if near else 0), text
+    assert {0, 1, 2, 3} <= set(got)
+
+
+def test_toxicity_edges(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0)], LABELS)
+    assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+    clash = docs.selectExpr("*", "1 AS score", "2 AS y", "3 AS predicted")
+    out = collect(toxicity.score_toxicity(clash, labels.limit(0)))
+    assert len(out) == len(ROWS) and len({r["score"] for r in out}) == 1
+
+
 def test_toxicity(spark, docs):
     m = toxicity.compile_lexicon([b"idiot", b"scum"], [b"vile"])
 
@@ -277,6 +392,36 @@ def test_quality_classifier(spark, docs):
     assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_quality_classifier_first_split_as_brute_force():
+    """The first tree's root is the split of the largest gain over all features and cuts."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (300, 4)).astype(float)
+    y = ((x[:, 2] > 6) ^ (rng.random(300) < 0.1)).astype(float)
+    f = gbdt_quality.fit(x, y, trees=1, depth=1, bins=64)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = y - share, np.full(len(y), share * (1 - share))
+    worth = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+    every = {(k, c): worth(x[:, k] <= c) + worth(x[:, k] > c) for k in range(4) for c in range(11)}
+    root = int(f.feature[0, 0]), int(np.floor(f.cut[0, 0]))
+    assert abs(every[root] - max(every.values())) < 1e-9
+    left, right = x[:, root[0]] <= root[1], x[:, root[0]] > root[1]
+    assert np.allclose(f.leaf[0], [0.2 * g[m].sum() / (h[m].sum() + 1) for m in (left, right)])
+
+
+def test_quality_classifier_scores_as_model(spark, docs):
+    """score_quality's column is the model's score of each row's statistics; empty tables and clashing columns."""
+    from cellflow.llm.textstats import FEATURES, text_stats
+
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in (1, 2, 3, 6, 7, 8)], LABELS)
+    stats = text_stats(common.pick(docs, doc_id="long", text="string"), "doc_id")
+    forest = gbdt_quality.fit_quality(stats, labels)
+    rows = stats.collect()
+    want = forest.score(np.array([[r[c] for c in FEATURES] for r in rows], float))
+    got = sorted((str(r["doc_id"]), round(r["score"], 9)) for r in collect(gbdt_quality.score_quality(docs.selectExpr("*", "1 AS score", "2 AS h"), labels)))
+    assert got == sorted((str(r["doc_id"]), round(s, 9)) for r, s in zip(rows, want.tolist(), strict=True))
+    assert gbdt_quality.score_quality(docs.limit(0), labels).count() == 0
+
+
 PII = [
     (1, "mail a.b+c@ex-1.co.uk, x@y@z.com a@b c@d.e@f.g"), (2, "ip 1.2.3.4 300.1.1.1 1.2.3.4.5.6.7.8 01.002.3.4"), (3, "card 4111 1111 1111 1111 4111-1111-1111-1112 é 4111111111111111"), (4, "+1 (017) 555-7713 +12 +49.30.1234567- x"),
     (5, None), (6, ""), (7, "see https://ex.com/a?b=1. and iban DE89370400440532013000"), (8, "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1.1.1.1"),
@@ -301,6 +446,16 @@ def test_pii(spark):
     assert "url:4:" in out[7]["spans"] and "iban:" in out[7]["spans"]
 
 
+def test_pii_edges(spark):
+    """A very long text, repeated rows, a null id, an empty table and clashing columns."""
+    long = "word " * 60_000 + "a@b.cd " + "1.2.3.4 " * 2_000
+    d = spark.createDataFrame([(1, long, 5), (1, long, 6), (None, "a@b.cd", None), (2, None, None)], "doc_id long, text string, n_email int")
+    out = sorted(((r["doc_id"] or 0, r["n_email"], r["n_ip"], r["base_sha256"]) for r in collect(pii.find_pii(d))), key=str)
+    sha = lambda t: hashlib.sha256(brute_pii(t).encode()).hexdigest()
+    assert out == sorted([(0, 1, 0, sha("a@b.cd")), (1, 1, 2_000, sha(long)), (1, 1, 2_000, sha(long)), (2, 0, 0, sha(""))], key=str)
+    assert pii.find_pii(d.limit(0)).count() == 0
+
+
 def test_pii_random():
     rng, finder = np.random.default_rng(5), pii.automaton()
     for _ in range(3000):
@@ -324,6 +479,29 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_edges(spark, tmp_path):
+    """A payload that is read in many blocks, a null page_id and its copy, clashing columns."""
+    long = "".join(f"<p>{k}</p>" for k in range(900_000))
+    rows = [(None, "u", "y" * 200, 1), (7, "u", "y" * 200, 2), (8, "v", long, 3), (9, "v", long, 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest long")
+    out = {r["page_id"]: r for r in collect(warc.round_trip(pages))}
+    assert out[None]["record_type"] == "response" and (out[7]["record_type"], out[7]["refers_to"]) == ("revisit", None)
+    assert out[8]["payload_bytes"] == len(long) and (out[9]["record_type"], out[9]["refers_to"]) == ("revisit", 8)
+    assert out[8]["payload_digest"] == out[9]["payload_digest"] == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_warc_parse_is_linear():
+    """8,000 records of 4 KB, in blocks that end inside records."""
+    rng = np.random.default_rng(1)
+    payloads = [rng.integers(32, 127, 4_000, np.uint8).tobytes() for _ in range(50)]
+    one = [warc.member(warc.record(k, "u", payloads[k % 50], 4_000, hashlib.sha256(payloads[k % 50]).hexdigest(), None)) for k in range(8_000)]
+    data, begin = b"".join(one), time.perf_counter()
+    ids = [r["page_id"] for r in warc.parse(data[k : k + 1_000_003] for k in range(0, len(data), 1_000_003))]
+    assert ids == list(range(8_000)) and time.perf_counter() - begin < 5
+    with pytest.raises(ValueError):
+        list(warc.parse([data[:-3]]))
+
+
 def test_pipeline_small(spark, docs, tmp_path):
     import corpus_pipeline
 
@@ -335,7 +513,7 @@ def test_pipeline_small(spark, docs, tmp_path):
 
 
 def brute_pipeline(rows, rules, items):
-    """(doc_id, source, slot, shard) that the five stages leave of rows (doc_id, text, source), in plain Python. rules: the learned decision list."""
+    """(doc_id, source, position, slot, shard) that the five stages leave of rows (doc_id, text, source), in plain Python. rules: the learned decision list."""
     import regex
 
     def good(text):
@@ -364,7 +542,17 @@ def brute_pipeline(rows, rules, items):
     clean = lambda w: not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
     table = sharding.lookup_table([f"shard-{k:05d}" for k in range(sharding.SHARDS)])
     slot = lambda doc: int(hashlib.md5(str(doc).encode()).hexdigest()[:8], 16) % sharding.SLOTS
-    return sorted((doc, source, slot(doc), table[slot(doc)]) for doc, text, source in left if doc in first and clean(words(text)))
+    last = [(doc, source or "", source) for doc, text, source in left if doc in first and clean(words(text))]
+    place = lambda doc: int(hashlib.md5(str(doc).encode()).hexdigest()[:8], 16)
+    share = mixing.shares(mixing.tempered(collections.Counter(key for _, key, _ in last)))
+    period = sum(share.values())
+    at = {(s, k): t for t, (s, k) in enumerate(mixing.schedule(share))}
+    ordered = []
+    for s in share:
+        for k, (_, doc, source) in enumerate(sorted((place(doc), doc, source) for doc, key, source in last if key == s)):
+            block = k // mixing.BLOCK
+            ordered.append(((block // share[s] * period + at[s, block % share[s]]) * mixing.BLOCK + k % mixing.BLOCK, doc, source))
+    return sorted((doc, source, position, slot(doc), table[slot(doc)]) for position, (_, doc, source) in enumerate(sorted(ordered)))
 
 
 @pytest.mark.parametrize("with_labels", [True, False])
@@ -382,9 +570,9 @@ def test_pipeline_as_brute_force(spark, tmp_path, with_labels):
         labels = labels.limit(0)
     for name, df in (("documents", docs), ("labels", labels), ("benchmark", table(spark, d, "benchmark"))):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
-    rules = quality_rules.learn_from(text_stats(pick(docs, doc_id="long", text="string"), "doc_id"), labels)
+    rules = quality_rules.learn_from(text_stats(pick(docs, doc_id="long", text="string"), "doc_id"), quality_rules.labelled(labels))
     assert bool(rules) == with_labels
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
     want = brute_pipeline(rows, rules, [r["text"] for r in table(spark, d, "benchmark").collect()])
-    got = sorted((r["doc_id"], r["source"], r["slot"], r["shard"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    got = sorted((r["doc_id"], r["source"], r["position"], r["slot"], r["shard"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want and 0 < len(want) < len(rows)
