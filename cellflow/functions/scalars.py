@@ -68,9 +68,3 @@ def polar_stereographic(lon: Column, lat: Column) -> tuple[Column, Column]:
     t = F.tan(F.lit(math.pi / 4) - p / 2) / F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2))
     rho = a * mc * t / tc
     return rho * F.sin(lam), rho * F.cos(lam)
-
-
-def variogram_model(kind: str, lag: Column, nugget: float, sill: float, reach: float) -> Column:
-    h = lag / reach
-    shape = {"spherical": F.when(h < 1, 1.5 * h - 0.5 * h * h * h).otherwise(1.0), "exponential": 1 - F.exp(-3 * h), "gaussian": 1 - F.exp(-3 * h * h)}[kind]
-    return nugget + sill * shape

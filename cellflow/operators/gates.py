@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellflow.functions.scalars import SECONDS_PER_YEAR
 
-from .grid import differentiate
+from .grid import differentiate, gaussian_mean
 
 
 def slope_aspect(grid: DataFrame, v: str, step: float) -> DataFrame:
@@ -39,13 +39,22 @@ def away_from(grid: DataFrame, inside: Column, shore: Column, distance: float, s
     return cells.where("inside").select("iy", "ix").join(near, ["iy", "ix"], "left_anti")
 
 
-def common_epoch_mean(cells: DataFrame, slopes: DataFrame, key: str, t: str, z: str, at: float | None = None) -> DataFrame:
+def common_epoch_mean(cells: DataFrame, slopes: DataFrame, key: str | list[str], t: str, z: str, at: float | None = None, sigma: float = 0.0) -> DataFrame:
     """(key, mean): each cell's mean of z moved along its slope (a year) from its own mean time to the time `at`, which is else the mean of
-    all epochs. Cells without a slope keep their plain mean. t is in seconds."""
+    all epochs. t is in seconds.
+
+    sigma: the slopes are first a Gaussian mean of so many cells (key is then iy and ix), within four times as far; a cell without a slope takes
+    its neighbours'. Cells that then have none keep their plain mean.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     if at is None:
         at = cells.select(t).distinct().agg(F.avg(t)).first()[0] or 0.0
-    mean = cells.where(F.col(z).isNotNull()).groupBy(key).agg(F.avg(z).alias("_z"), F.avg(F.col(t) - at).alias("_lever"))
-    return mean.join(slopes.select(key, "slope"), key, "left").select(key, (F.col("_z") - F.coalesce(F.col("slope") * F.col("_lever") / SECONDS_PER_YEAR, F.lit(0.0))).alias("mean"))
+    mean = cells.where(F.col(z).isNotNull()).groupBy(*keys).agg(F.avg(z).alias("_z"), F.avg(F.col(t) - at).alias("_lever"))
+    if sigma > 0:
+        if keys != ["iy", "ix"]:
+            raise ValueError("smoothed slopes need the keys iy and ix")
+        slopes = gaussian_mean(mean.select("iy", "ix").join(slopes.select("iy", "ix", "slope"), ["iy", "ix"], "left"), "slope", sigma, int(4 * sigma + 0.5)).select("iy", "ix", F.col("smooth").alias("slope"))
+    return mean.join(slopes.select(*keys, "slope"), keys, "left").select(*keys, (F.col("_z") - F.coalesce(F.col("slope") * F.col("_lever") / SECONDS_PER_YEAR, F.lit(0.0))).alias("mean"))
 
 
 def covered(cells: DataFrame, key: str, epoch: str, z: str, share: float) -> DataFrame:
@@ -76,6 +85,24 @@ def mosaic(tiles: DataFrame, keys: list[str], v: str, *order: str) -> DataFrame:
     return tiles.groupBy(*keys).agg(F.min_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(v))
 
 
+def control_gate(points: DataFrame, site: DataFrame, ground: int = 2, max_speed: float = 10.0, budget: float | None = None, residual: float | None = 100.0) -> DataFrame:
+    """points with reason: why one is no control, or null where it is.
+
+    points: (id, fy, fx in cells, h and, for a budget, dt_yr, the years between the point and the height model); site: (iy, ix, mask, speed,
+    surface), of which the next cell up is read. In this order: no height, not on `ground`, too fast (moved more than `budget` metres in dt_yr,
+    or, without a budget or dt_yr, faster than max_speed a year), too far from the surface (`residual` or more, or unknown).
+    """
+    at = points.withColumns({"iy": F.ceil("fy").cast("int"), "ix": F.ceil("fx").cast("int")}).join(site.select("iy", "ix", "mask", "speed", "surface"), ["iy", "ix"], "left")
+    slow = F.col("speed") < max_speed
+    if budget is not None and "dt_yr" in points.columns:
+        slow = F.when(F.col("dt_yr").isNotNull(), F.col("speed") * F.abs("dt_yr") <= budget).otherwise(slow)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    reason = F.when(F.col("h").isNull() | F.isnan(F.col("h")), "height").when(no(F.col("mask") == ground), "ground").when(no(slow), "speed")
+    if residual is not None and residual > 0:
+        reason = reason.when(no(F.abs(F.col("h") - F.col("surface")) < residual), "residual")
+    return at.select(*[F.col(c) for c in points.columns], reason.alias("reason"))
+
+
 def best_sigma(sources: Column, sigma: dict[str, float], fallback: float) -> Column:
     """The smallest sigma of the named sources (any case, blanks around); the fallback if none is known."""
     known = F.create_map(*[F.lit(x) for kv in sigma.items() for x in kv])

@@ -23,13 +23,65 @@ def differentiate(grid: DataFrame, v: str, along: str, step: float) -> Column:
     return F.when(first, (ahead - F.col(v)) / step).when(last, (F.col(v) - back) / step).otherwise((ahead - back) / (2 * step))
 
 
-def flux_divergence(grid: DataFrame, thickness: str, vx: str, vy: str, step: float) -> DataFrame:
-    """d(H vx)/dx + d(H vy)/dy; y descends with iy."""
+def flux_divergence(grid: DataFrame, thickness: str, vx: str, vy: str, step: float, estimator=None) -> DataFrame:
+    """grid with divergence: d(H vx)/dx + d(H vy)/dy; y descends with iy. estimator: another way to it, a function of (grid with the columns
+    _fx and _fy, the two fluxes; step) that returns (iy, ix, divergence)."""
     g = grid.withColumn("_fx", F.col(thickness) * F.col(vx)).withColumn("_fy", F.col(thickness) * F.col(vy))
+    if estimator is not None:
+        return grid.join(estimator(g, step).select("iy", "ix", "divergence"), ["iy", "ix"], "left")
     g = g.withColumn("_dx", differentiate(g, "_fx", "ix", step))
     return g.withColumn("divergence", F.col("_dx") - differentiate(g, "_fy", "iy", step)).drop("_fx", "_fy", "_dx")
 
 
+def harmonic_infill(grid: DataFrame, field: str, v: str, inside: str, tol: float = 1e-10) -> DataFrame:
+    """(field, iy, ix, v) of the cells inside: gaps take the solution of Laplace's equation with the values around them, and no flow across the
+    domain's edge. A gap that touches no value takes the mean of all that have one; without any value it stays null. One field a group, solved
+    by conjugate gradients until the residual is `tol` of its start.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(grid.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        iy, ix = pdf["iy"].to_numpy(), pdf["ix"].to_numpy()
+        a, domain = np.full((int(iy.max()) + 3, int(ix.max()) + 3), np.nan), np.zeros((int(iy.max()) + 3, int(ix.max()) + 3), bool)  # a rim outside
+        domain[iy + 1, ix + 1] = pdf[inside].fillna(False).astype(bool)
+        a[iy + 1, ix + 1] = pdf[v].astype(float)
+        gap, steps = domain & ~np.isfinite(a), ((0, 1), (0, -1), (1, 1), (1, -1))
+        if gap.any() and (domain & ~gap).any():
+            known = np.where(domain & ~gap, a, 0.0)
+            degree = sum(np.roll(domain, s, axis).astype(float) for axis, s in steps)
+            # Gaps that no value reaches are solved by their ridge alone and then replaced.
+            reached = domain & ~gap
+            while True:
+                more = reached | (gap & (sum(np.roll(reached, s, axis).astype(int) for axis, s in steps) > 0))
+                if (more == reached).all():
+                    break
+                reached = more
+            solve = gap & reached
+            product = lambda x: np.where(solve, degree * x - sum(np.roll(np.where(solve, x, 0.0), s, axis) for axis, s in steps), 0.0)
+            b = np.where(solve, sum(np.roll(known, s, axis) for axis, s in steps), 0.0)
+            x = np.where(solve, np.nanmean(a[domain]), 0.0)
+            r = b - product(x)
+            p, size = r.copy(), (r * r).sum()
+            first = size
+            for _ in range(20 * int(solve.sum()) + 50):
+                if size <= tol * tol * max(first, 1e-300):
+                    break
+                q = product(p)
+                alpha = size / (p * q).sum()
+                x, r = x + alpha * p, r - alpha * q
+                size, before = (r * r).sum(), size
+                p = r + size / before * p
+            a = np.where(solve, x, np.where(gap, np.nanmean(np.where(domain & ~gap, a, np.nan)), a))
+        keep = domain[iy + 1, ix + 1]
+        values = pd.Series(a[iy + 1, ix + 1][keep])
+        return pd.DataFrame({field: pdf[field].to_numpy()[keep], "iy": iy[keep], "ix": ix[keep], v: values.astype(object).where(values.notna(), None)})
+
+    return grid.select(field, "iy", "ix", v, inside).groupBy(field).applyInPandas(run, f"{field} {kinds[field]}, iy int, ix int, {v} double")
+
+
 def box_mean(grid: DataFrame, v: str, size: int) -> DataFrame:
     """Mean over a size x size box, cells beyond the edge as the nearest cell (a line at a time: the box is separable)."""
     for along, across in (("ix", "iy"), ("iy", "ix")):
@@ -52,17 +104,30 @@ def gaussian_mean(grid: DataFrame, v: str, sigma: float, reach: int) -> DataFram
     return grid.join(sums, ["iy", "ix"], "left")
 
 
-def gather_bilinear(points: DataFrame, grid: DataFrame, v: str) -> DataFrame:
-    """For points (id, fy, fx in cells) the value between their four cells; null outside or where one of the four is null.
-    Four keys a point are joined and summed: no search."""
-    y0, x0 = F.floor("fy").cast("int"), F.floor("fx").cast("int")
-    wy, wx = F.col("fy") - y0, F.col("fx") - x0
+def gather_bilinear(points: DataFrame, grid: DataFrame, v: str, clamp: tuple[int, int] | None = None) -> DataFrame:
+    """For points (id, fy, fx in cells) the value between their four cells; null outside or where one of the four is null. clamp: the grid's
+    (rows, columns); points outside then take the value at the nearest place on its edge. Four keys a point are joined and summed: no search."""
+    fy, fx = F.col("fy"), F.col("fx")
+    if clamp:
+        fy, fx = (F.least(F.greatest(c, F.lit(0.0)), F.lit(n - 1.0)) for c, n in ((fy, clamp[0]), (fx, clamp[1])))
+    y0, x0 = F.floor(fy).cast("int"), F.floor(fx).cast("int")
+    wy, wx = fy - y0, fx - x0
     corner = lambda dy, dx, w: F.struct((y0 + dy).alias("iy"), (x0 + dx).alias("ix"), w.alias("w"))
     four = points.select("id", F.explode(F.array(corner(0, 0, (1 - wy) * (1 - wx)), corner(0, 1, (1 - wy) * wx), corner(1, 0, wy * (1 - wx)), corner(1, 1, wy * wx))).alias("c")).select("id", "c.*").where("w > 0")
     got = four.join(grid.select("iy", "ix", F.col(v).alias("_v")), ["iy", "ix"], "left").groupBy("id").agg(F.sum(F.col("w") * F.col("_v")).alias("value"), F.bool_and(F.col("_v").isNotNull()).alias("_all"))
     return got.select("id", F.when(F.col("_all"), F.col("value")).alias("value"))
 
 
+def gather_fields(points: DataFrame, grid: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, fields): gather_bilinear for several fields at once; a field is null where one of its four cells is."""
+    y0, x0 = F.floor("fy").cast("int"), F.floor("fx").cast("int")
+    wy, wx = F.col("fy") - y0, F.col("fx") - x0
+    corner = lambda dy, dx, w: F.struct((y0 + dy).alias("iy"), (x0 + dx).alias("ix"), w.alias("w"))
+    four = points.select("id", F.explode(F.array(corner(0, 0, (1 - wy) * (1 - wx)), corner(0, 1, (1 - wy) * wx), corner(1, 0, wy * (1 - wx)), corner(1, 1, wy * wx))).alias("c")).select("id", "c.*").where("w > 0")
+    met = four.join(grid.select("iy", "ix", *[F.col(c).alias(f"_{c}") for c in fields]), ["iy", "ix"], "left")
+    return met.groupBy("id").agg(*[F.when(F.bool_and(F.col(f"_{c}").isNotNull()), F.sum(F.col("w") * F.col(f"_{c}"))).alias(c) for c in fields])
+
+
 def gather_index(points: DataFrame, grid: DataFrame, v: str, how: str = "nearest") -> DataFrame:
     """The value of the nearest cell (halves to even) or of the next cell up (`ceiling`, as a search in sorted coordinates gives)."""
     index = {"nearest": F.rint, "ceiling": F.ceil}[how]

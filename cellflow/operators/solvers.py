@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellflow.functions.scalars import MAD_TO_SIGMA, TUKEY_C
+
+from .stats import median_of_all
+
 
 def epoch_offsets(cells: DataFrame, keep, rounds: int = 30, ridge_cell: float = 1e-6, ridge_epoch: float = 1e-3, tol: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """Offsets of epochs and trends of cells that fit z (cell, epoch, t, z) together: z = level + slope * t + offset of the epoch.
@@ -47,13 +51,139 @@ def epoch_offsets(cells: DataFrame, keep, rounds: int = 30, ridge_cell: float =
     return fit.select("cell", (F.col("level") + F.col("_m") + centre - F.col("slope") * t0).alias("level"), "slope"), offsets.withColumn("offset", F.col("offset") - centre)
 
 
+def tilt_fit(cells: DataFrame, keep, level_sd: float = 10.0, slope_sd: float = 1.0, tilt_sd: tuple[float, float] = (2e-6, 2e-6 / 3), offset_sd: float = 0.1, min_width: float = 0.0, robust: bool = True, rounds: int = 8, tol: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """Planes of epochs and trends of cells that fit heights together: z = intercept + dhdt * days + dx (x - xref) + dy (y - yref) + dz.
+
+    cells: (cell, epoch, t in days, x, y, z), one row or none for a cell and epoch. Each unknown has a prior of mean 0 and the given spread,
+    levels about the cell's median. Cells are eliminated by aggregates; what is left is a system of three unknowns an epoch (epochs are few:
+    nine sums for each pair of them reach the driver), solved directly. robust: Tukey's weights with one scale, until the epochs' unknowns
+    move by less than tol of their size. An epoch whose distances from its centre spread less than min_width (5th to 95th percentile) gets an
+    offset alone. Returns (epoch, tilt_dx, tilt_dy, tilt_dz, xref, yref, fit_xy, weight_mean, weight_frac_kept) and (cell, intercept, dhdt);
+    days count from the mean of the epochs' times.
+    """
+    spark, c = cells.sparkSession, F.col
+    rows = cells.where("z is not null and not isnan(z)")
+    refs = rows.groupBy("epoch").agg(F.min("t").alias("te"), F.avg("x").alias("xref"), F.avg("y").alias("yref"))
+    off = rows.join(refs, "epoch").groupBy("epoch").agg(F.percentile(F.hypot(c("x") - c("xref"), c("y") - c("yref")), F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    told = refs.join(off, "epoch").select("epoch", "te", "xref", "yref", (c("q")[1] - c("q")[0] > min_width).alias("fit_xy")).orderBy("epoch").collect()
+    if not told:
+        raise ValueError("no heights")
+    epochs, middle = [r["epoch"] for r in told], sum(r["te"] for r in told) / len(told)
+    kind = dict(cells.dtypes)["epoch"]
+    known = F.broadcast(spark.createDataFrame([(r["epoch"], r["te"] - middle, r["xref"], r["yref"], r["fit_xy"]) for r in told], f"epoch {kind}, tc double, xref double, yref double, fit_xy boolean"))
+    lean = lambda at, ref: F.when(c("fit_xy"), c(at) - c(ref)).otherwise(0.0)
+    base = rows.join(rows.groupBy("cell").agg(F.median("z").alias("_m")), "cell").join(known, "epoch")
+    base = keep(base.select("cell", "epoch", "tc", lean("x", "xref").alias("b0"), lean("y", "yref").alias("b1"), F.lit(1.0).alias("b2"), (c("z") - c("_m")).alias("z"), "_m", F.lit(1.0).alias("w")))
+    sd = np.tile([*tilt_sd, offset_sd], len(epochs))
+    at = {e: k for k, e in enumerate(epochs)}
+
+    def solve(rows: DataFrame) -> np.ndarray:
+        n, st, stt = F.sum("w") + level_sd**-2, F.sum(c("w") * c("tc")), F.sum(c("w") * c("tc") * c("tc")) + slope_sd**-2
+        own = rows.groupBy("cell").agg(n.alias("n"), st.alias("st"), stt.alias("stt"), F.sum(c("w") * c("z")).alias("sz"), F.sum(c("w") * c("tc") * c("z")).alias("stz"))
+        part = keep(rows.join(own.withColumn("den", c("n") * c("stt") - c("st") * c("st")), "cell"))
+        # What a unit of weight at this time takes from the cell's level and slope.
+        level, slope = (c("stt") - c("st") * c("tc")) / c("den"), (c("n") * c("tc") - c("st")) / c("den")
+        right = part.groupBy("epoch").agg(*[F.sum(c("w") * c(f"b{i}") * (c("z") - level * c("sz") - slope * c("stz"))).alias(f"r{i}") for i in range(3)], *[F.sum(c("w") * c(f"b{i}") * c(f"b{j}")).alias(f"d{i}{j}") for i in range(3) for j in range(3)]).collect()
+        other = part.select("cell", c("epoch").alias("other"), c("tc").alias("otc"), c("w").alias("ow"), *[c(f"b{i}").alias(f"o{i}") for i in range(3)])
+        shared = c("w") * c("ow") * (level + slope * c("otc"))
+        pairs = part.join(other, "cell").groupBy("epoch", "other").agg(*[F.sum(shared * c(f"b{i}") * c(f"o{j}")).alias(f"v{i}{j}") for i in range(3) for j in range(3)]).collect()
+        system, b = np.zeros((len(sd), len(sd))), np.zeros(len(sd))
+        for r in right:
+            k = 3 * at[r["epoch"]]
+            b[k : k + 3] = [r[f"r{i}"] for i in range(3)]
+            system[k : k + 3, k : k + 3] += [[r[f"d{i}{j}"] for j in range(3)] for i in range(3)]
+        for r in pairs:
+            k, m = 3 * at[r["epoch"]], 3 * at[r["other"]]
+            system[k : k + 3, m : m + 3] -= [[r[f"v{i}{j}"] for j in range(3)] for i in range(3)]
+        # Unknowns in units of their priors, which then are an identity.
+        return sd * np.linalg.solve(sd[:, None] * system * sd[None, :] + np.eye(len(sd)), sd * b)
+
+    def left(rows: DataFrame, x: np.ndarray) -> tuple[DataFrame, DataFrame]:
+        """rows with what the planes leave (r) and what the cells' trends leave of that (e), and the trends."""
+        planes = F.broadcast(spark.createDataFrame([(e, *map(float, x[3 * k : 3 * k + 3])) for e, k in at.items()], f"epoch {kind}, p0 double, p1 double, p2 double"))
+        r = rows.join(planes, "epoch").withColumn("r", c("z") - c("p0") * c("b0") - c("p1") * c("b1") - c("p2"))
+        s = r.groupBy("cell", "_m").agg((F.sum("w") + level_sd**-2).alias("n"), F.sum(c("w") * c("tc")).alias("st"), (F.sum(c("w") * c("tc") * c("tc")) + slope_sd**-2).alias("stt"), F.sum(c("w") * c("r")).alias("sr"), F.sum(c("w") * c("tc") * c("r")).alias("str"))
+        den = c("n") * c("stt") - c("st") * c("st")
+        trends = s.select("cell", "_m", ((c("stt") * c("sr") - c("st") * c("str")) / den).alias("level"), ((c("n") * c("str") - c("st") * c("sr")) / den).alias("dhdt"))
+        return r.join(trends.drop("_m"), "cell").withColumn("e", c("r") - c("level") - c("dhdt") * c("tc")), trends
+
+    x = solve(base)
+    for _ in range(rounds if robust else 0):
+        e = keep(left(base, x)[0])
+        mid = median_of_all(e, "e")
+        scale = MAD_TO_SIGMA * median_of_all(e.select(F.abs(c("e") - mid).alias("d")), "d")
+        if scale < 1e-9:
+            break
+        u = c("e") / (TUKEY_C * scale)
+        base = keep(e.withColumn("w", F.when(F.abs(u) < 1, F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0)).select("cell", "epoch", "tc", "b0", "b1", "b2", "z", "_m", "w"))
+        before, x = x, solve(base)
+        if np.linalg.norm((x - before) / sd) <= tol * max(np.linalg.norm(before / sd), 1e-12):
+            break
+    mean = float(x[2::3].mean())  # a shift of all offsets is one of all levels
+    weights = {r["epoch"]: (r["m"], r["k"]) for r in base.groupBy("epoch").agg(F.avg("w").alias("m"), F.avg((c("w") > 0).cast("double")).alias("k")).collect()}
+    out = spark.createDataFrame([(r["epoch"], float(x[3 * k]), float(x[3 * k + 1]), float(x[3 * k + 2]) - mean, r["xref"], r["yref"], r["fit_xy"], *weights[r["epoch"]]) for k, r in enumerate(told)], f"epoch {kind}, tilt_dx double, tilt_dy double, tilt_dz double, xref double, yref double, fit_xy boolean, weight_mean double, weight_frac_kept double")
+    return out, keep(left(base, x)[1].select("cell", (c("level") + c("_m") + mean).alias("intercept"), "dhdt"))
+
+
+def untilted(cells: DataFrame, epochs: DataFrame) -> DataFrame:
+    """cells with z less its epoch's plane."""
+    plane = F.col("tilt_dx") * (F.col("x") - F.col("xref")) + F.col("tilt_dy") * (F.col("y") - F.col("yref")) + F.col("tilt_dz")
+    return cells.join(F.broadcast(epochs.select("epoch", "tilt_dx", "tilt_dy", "tilt_dz", "xref", "yref")), "epoch").withColumn("z", F.col("z") - plane).select(*cells.columns)
+
+
+def pair_epoch_bias(pairs: DataFrame, rounds: int = 10, ridge: float = 0.1) -> tuple[float, DataFrame, DataFrame]:
+    """Per-epoch biases s behind pair values: value = mu + (s_j - s_i) / dt_yr, robustly.
+
+    pairs: (i, j, dt_yr, value, n), one row for a pair of epochs (they are collected; epochs are few). A row weighs sqrt(min(n, 500)), times
+    Tukey's weight of its residual. What
+    the model can't tell is fixed: s has mean 0 and no trend over the epochs' numbers; a ridge of that share of the median weight holds epochs
+    that few pairs have. Returns mu, (epoch, s) and (i, j, resid, weight).
+    """
+    spark = pairs.sparkSession
+    p = pairs.where("value is not null and dt_yr > 0").select("i", "j", "dt_yr", "value", "n").orderBy("i", "j").toPandas()
+    if p.empty:
+        raise ValueError("no pairs")
+    used = sorted({*p["i"], *p["j"]})
+    at, row = {e: k for k, e in enumerate(used)}, np.arange(len(p))
+    a = np.zeros((len(p), 1 + len(used)))
+    a[:, 0] = 1.0
+    np.add.at(a, (row, 1 + p["j"].map(at).to_numpy()), 1 / p["dt_yr"].to_numpy())
+    np.add.at(a, (row, 1 + p["i"].map(at).to_numpy()), -1 / p["dt_yr"].to_numpy())
+    cell, value = np.sqrt(np.minimum(p["n"].to_numpy(float), 500)), p["value"].to_numpy(float)
+    t = np.array(used, float) - np.mean(used)
+    t /= max(np.abs(t).max(), 1e-12)
+    hard = 1e3 * cell.max() * max(1.0, float(np.abs(a).max()))
+    fixed = np.zeros((2 + len(used), a.shape[1]))
+    fixed[0, 1:], fixed[1, 1:] = hard, hard * t
+    fixed[2:, 1:] = ridge * np.median(cell) * np.eye(len(used))
+    w = np.ones(len(p))
+    for _ in range(rounds):
+        root = cell * w
+        x = np.linalg.lstsq(np.vstack([a * root[:, None], fixed]), np.concatenate([value * root, np.zeros(len(fixed))]), rcond=None)[0]
+        r = value - a @ x
+        scale = MAD_TO_SIGMA * np.median(np.abs(r - np.median(r)))
+        if scale < 1e-12:
+            break
+        new = np.where(np.abs(r) < TUKEY_C * scale, (1 - (r / (TUKEY_C * scale)) ** 2) ** 2, 0.0)
+        if np.abs(new - w).max() < 1e-3:
+            w = new
+            break
+        w = new
+    biases = spark.createDataFrame([(int(e), float(x[1 + k])) for e, k in at.items()], "epoch long, s double")
+    told = spark.createDataFrame([(int(i), int(j), float(e), float(v)) for i, j, e, v in zip(p["i"], p["j"], r, w, strict=True)], "i long, j long, resid double, weight double")
+    return float(x[0]), biases, told
+
+
 def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 40) -> DataFrame:
     """(key, cluster): Lloyd's rounds over standardised features until no row changes its cluster (`rounds` at most).
 
     Centres start at the rows nearest to evenly spaced quantiles along the first principal component (of rows alike the smallest key); a
-    centre that loses all rows stays. A round is one aggregate; centres are k small rows.
+    centre that loses all rows stays. A round is one aggregate; centres are k small rows. An empty table gives one.
     """
-    dim = len(df.select(vector).first()[0])
+    one = df.select(vector).first()
+    if one is None:
+        return df.select(key, F.lit(None).cast("int").alias("cluster"))
+    dim = len(one[0])
     each = lambda f: [f(F.get(vector, j).cast("double")) for j in range(dim)]
     mean, sd = (np.array(df.agg(*each(f)).first(), float) for f in (F.avg, F.stddev_pop))
     sd[~(sd > 0)] = 1.0
@@ -98,8 +228,12 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 40) -> Da
 
 
 def principal_components(df: DataFrame, vector: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of variance and vectors of the first n components, from sums and products added up by partition (dim x dim, whatever the rows)."""
-    dim = len(df.select(vector).first()[0])
+    """Shares of variance and vectors of the first n components, from sums and products added up by partition (dim x dim, whatever the rows).
+    Without rows there are none."""
+    one = df.select(vector).first()
+    if one is None:
+        return np.zeros(0), np.zeros((0, 0))
+    dim = len(one[0])
 
     def sums(batches):
         total, outer, count = np.zeros(dim), np.zeros((dim, dim)), 0
@@ -135,3 +269,61 @@ def kalman(df: DataFrame, key: str, t: str, v: str, process: float, noise: float
         return pd.DataFrame(out, columns=[key, t, "level", "variance"])
 
     return df.select(key, F.col(t).cast("double").alias(t), F.col(v).cast("double").alias(v)).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, {t} double, level double, variance double")
+
+
+def smooth_series(obs: DataFrame, at: DataFrame, key: str, season: bool = True, memory: float = 6.0, floor: float = 0.05) -> DataFrame:
+    """(key, t, mean, std) at the times `at` (key, t in years) from a key's values obs (key, t, v, alpha): a level that drifts along a drifting
+    slope, with a yearly wave if season, filtered forwards and smoothed backwards.
+
+    alpha: a value's variance over the series'; floor holds its spread up. The slope's drift moves the level by the series' spread within
+    `memory` years. A key without values has null results; with one time alone the mean and spread of its values. A series is one group, so its
+    length is bounded by a worker's memory.
+    """
+    kind = dict(obs.dtypes)[key]
+    both = obs.select(key, "t", "v", F.coalesce("alpha", F.lit(1e-3)).alias("alpha"), F.lit(False).alias("ask")).unionByName(at.select(key, "t", F.lit(None).cast("double").alias("v"), F.lit(None).cast("double").alias("alpha"), F.lit(True).alias("ask")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = np.unique(pdf.loc[pdf["ask"], "t"].to_numpy(float))
+        seen = pdf[~pdf["ask"] & pdf["v"].notna()].sort_values("t", kind="stable")
+        v = seen["v"].to_numpy(float)
+        frame = lambda mean, std: pd.DataFrame({key: pdf[key].iloc[0], "t": asked, "mean": mean, "std": std})
+        if not len(v):
+            return frame(np.full(len(asked), None), np.full(len(asked), None))
+        spread, times = float(v.std()) or 1.0, np.unique(np.concatenate([asked, seen["t"].to_numpy(float)]))
+        if len(times) == 1:
+            return frame(v.mean(), spread)
+        noise = np.maximum(seen["alpha"].to_numpy(float), floor**2) * spread**2
+        size, look = (4, np.array([1.0, 0, 1, 0])) if season else (2, np.array([1.0, 0]))
+        drift, waver = spread**2 / max(memory, 0.25) ** 3, (floor * spread) ** 2
+
+        def pass_time(dt: float) -> tuple[np.ndarray, np.ndarray]:
+            move, blur = np.eye(size), np.zeros((size, size))
+            move[0, 1] = dt
+            blur[:2, :2] = drift * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
+            if season:
+                a = 2 * np.pi * dt
+                move[2:, 2:] = [[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]]
+                blur[2:, 2:] = waver * dt * np.eye(2)
+            return move, blur
+
+        first = np.searchsorted(seen["t"].to_numpy(float), times, "left")
+        last = np.searchsorted(seen["t"].to_numpy(float), times, "right")
+        state, cover = np.zeros(size), np.eye(size) * (10 * spread) ** 2
+        state[0] = v.mean()
+        told, known = [], []
+        for k, t in enumerate(times):
+            move, blur = pass_time(t - times[k - 1] if k else 0.0)
+            state, cover = move @ state, move @ cover @ move.T + blur
+            told.append((move, state, cover))
+            for j in range(first[k], last[k]):
+                gain = cover @ look / (look @ cover @ look + noise[j])
+                state, cover = state + gain * (v[j] - look @ state), cover - np.outer(gain, look @ cover)
+            known.append((state, cover))
+        for k in range(len(times) - 2, -1, -1):
+            (move, ahead, ahead_cover), (state, cover) = told[k + 1], known[k]
+            back = cover @ move.T @ np.linalg.pinv(ahead_cover)
+            known[k] = state + back @ (known[k + 1][0] - ahead), cover + back @ (known[k + 1][1] - ahead_cover) @ back.T
+        pick = [known[k] for k in np.searchsorted(times, asked)]
+        return frame(np.array([look @ s for s, _ in pick]), np.sqrt([max(look @ c @ look, 0.0) for _, c in pick]))
+
+    return both.groupBy(key).applyInPandas(run, f"{key} {kind}, t double, mean double, std double")

@@ -1,29 +1,192 @@
-"""Spatial statistics: variograms and effective numbers of samples."""
+"""Spatial statistics: variograms of scattered values, models fitted to them, and what they say of the error of a mean."""
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellflow.functions.scalars import MAD_TO_SIGMA
 
-def variogram(points: DataFrame, max_lag: float, bins: int, min_pairs: int = 10) -> DataFrame:
-    """Half the mean squared difference of pairs (id, x, y, v) by distance up to max_lag (bins half-open, the last closed), at bin midpoints.
+#: A model's structure: its name, sill and effective range.
+Structure = tuple[str, float, float]
 
-    Points are hashed into squares of side max_lag and meet their own and the eight next ones only, so no pair farther apart than two squares is made.
+
+def lag_edges(max_lag: float, bins: int = 20) -> list[float]:
+    """0 and geometric steps from a five-hundredth of max_lag to max_lag."""
+    low = max(max_lag / 500, 1e-6)
+    return [0.0, *[low * (max_lag / low) ** (k / (bins - 1)) for k in range(bins - 1)], max_lag]
+
+
+def pairs_within(points: DataFrame, reach: float) -> DataFrame:
+    """(d, dv) of each pair of points (id, x, y, v) less than reach apart, once.
+
+    Points are hashed into squares of side reach and meet their own and the eight next ones only, so no pair farther apart than two squares is
+    made.
+    """
+    full = points.where(" and ".join(f"{c} is not null" for c in ("id", "x", "y", "v")))
+    square = lambda c: F.floor(F.col(c) / reach)
+    around = lambda c: F.explode(F.sequence(square(c) - 1, square(c) + 1))
+    a = full.select("id", "x", "y", "v", around("x").alias("_x")).select("*", around("y").alias("_y"))
+    b = full.select(F.col("id").alias("jd"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.col("v").alias("jv"), square("x").alias("_x"), square("y").alias("_y"))
+    met = a.join(b, ["_x", "_y"]).where("id < jd").select(F.hypot(F.col("x") - F.col("jx"), F.col("y") - F.col("jy")).alias("d"), (F.col("v") - F.col("jv")).alias("dv"))
+    return met.where(F.col("d") < reach)
+
+
+def variogram(points: DataFrame, edges: list[float], estimator: str = "dowd", min_pairs: int = 30) -> DataFrame:
+    """(bin, lag, n, gamma) of the pairs of points (id, x, y, v) by distance; bins are half-open, lag is a bin's middle.
+
+    matheron: half the mean squared difference. dowd: half the square of the differences' scaled median, which outliers don't move. All pairs
+    count, each once; bins of fewer than min_pairs are left out.
+    """
+    if estimator not in ("matheron", "dowd"):
+        raise ValueError("estimator: matheron or dowd")
+    edges = sorted(set(map(float, edges)))
+    low = F.array(*map(F.lit, edges))
+    k = (F.size(F.filter(low, lambda e: e <= F.col("d"))) - 1).alias("bin")
+    gamma = F.avg(F.col("dv") * F.col("dv")) / 2 if estimator == "matheron" else F.pow(MAD_TO_SIGMA * F.median(F.abs("dv")), F.lit(2.0)) / 2
+    binned = pairs_within(points, edges[-1]).where(F.col("d") >= edges[0]).groupBy(k).agg(F.count("*").alias("n"), gamma.alias("gamma")).where(F.col("n") >= min_pairs)
+    middle = F.array(*[F.lit((a + b) / 2) for a, b in itertools.pairwise(edges)])
+    return binned.select("bin", F.get(middle, F.col("bin")).alias("lag"), "n", "gamma")
+
+
+def model_value(h: np.ndarray, structures: list[Structure]) -> np.ndarray:
+    """The sum of structures at lags h: nugget (beyond lag 0), spherical, exponential or gaussian, whose range is the effective one."""
+    h, out = np.asarray(h, float), 0.0
+    for name, sill, reach in structures:
+        u = h / max(reach, 1e-12)
+        shape = {"nugget": lambda: (h > 0).astype(float), "spherical": lambda u=u: np.where(u < 1, 1.5 * u - 0.5 * u**3, 1.0), "exponential": lambda u=u: 1 - np.exp(-3 * u), "gaussian": lambda u=u: 1 - np.exp(-4 * u * u)}
+        if name not in shape:
+            raise ValueError(f"unknown structure {name}")
+        out = out + sill * shape[name]()
+    return out
+
+
+def model_column(h: Column, structures: list[Structure]) -> Column:
+    """model_value as a column."""
+    out = F.lit(0.0)
+    for name, sill, reach in structures:
+        u = h / max(reach, 1e-12)
+        if name not in ("nugget", "spherical", "exponential", "gaussian"):
+            raise ValueError(f"unknown structure {name}")
+        shape = F.when(h > 0, 1.0).otherwise(0.0) if name == "nugget" else F.when(u < 1, 1.5 * u - 0.5 * F.pow(u, F.lit(3.0))).otherwise(1.0) if name == "spherical" else 1 - F.exp(-3 * u) if name == "exponential" else 1 - F.exp(-4 * u * u)
+        out = out + sill * shape
+    return out
+
+
+def covariance(h: Column, structures: list[Structure]) -> Column:
+    """The sum of sills less the model."""
+    return sum(s for _, s, _ in structures) - model_column(h, structures)
+
+
+def fit_model(lags, gamma, counts=None, names: tuple[str, ...] = ("nugget", "spherical", "spherical"), max_range: float | None = None, starts: int = 8, seed: int = 0) -> dict:
+    """Sills and ranges of a sum of structures, by least squares with the weight counts / lag^2 of each bin: structures, total_sill, ranges,
+    rmse, r2 and n_bins. Bins are few, so this runs on the driver.
+
+    For given ranges the sills are a least squares that is not negative, solved exactly; ranges are searched from several starts by a downhill
+    simplex on their logarithms. Ranges stay between 0.001 and five times max_range (the largest lag).
     """
-    width = max_lag / bins
-    sq = lambda c: F.floor(F.col(c) / max_lag)
-    a = points.select("id", "x", "y", "v", F.explode(F.sequence(sq("x") - 1, sq("x") + 1)).alias("_x"), sq("y").alias("_yy")).withColumn("_y", F.explode(F.sequence(F.col("_yy") - 1, F.col("_yy") + 1))).drop("_yy")
-    b = points.select(F.col("id").alias("jd"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.col("v").alias("jv"), sq("x").alias("_x"), sq("y").alias("_y"))
-    d = F.hypot(F.col("x") - F.col("jx"), F.col("y") - F.col("jy"))
-    pairs = a.join(b, ["_x", "_y"]).where(F.col("id") < F.col("jd")).withColumn("d", d).where(F.col("d") <= max_lag)
-    k = F.least(F.floor(F.col("d") / width), F.lit(bins - 1)).cast("int")
-    return pairs.groupBy(k.alias("bin")).agg(F.count("*").alias("n"), (F.avg(F.pow(F.col("v") - F.col("jv"), 2)) / 2).alias("gamma")).where(F.col("n") >= min_pairs).withColumn("lag", (F.col("bin") + 0.5) * width)
+    h, g = np.asarray(lags, float), np.asarray(gamma, float)
+    ok = np.isfinite(h) & np.isfinite(g) & (h > 0)
+    if ok.sum() < 3:
+        raise ValueError(f"{ok.sum()} usable bins; three are needed")
+    w = np.sqrt(np.maximum(np.asarray(counts, float)[ok], 1)) / h[ok] if counts is not None else np.ones(ok.sum())
+    h, g, w = h[ok], g[ok], w / w.max()
+    top = max_range or float(h.max())
+    ranged = [k for k, n in enumerate(names) if n != "nugget"]
+
+    def best(logs: np.ndarray) -> tuple[float, list[Structure]]:
+        reach = np.zeros(len(names))
+        reach[ranged] = np.clip(np.exp(logs), 1e-3, 5 * top)
+        a = np.stack([model_value(h, [(n, 1.0, reach[k])]) for k, n in enumerate(names)], 1)
+        sill = non_negative(a * w[:, None], g * w)
+        return float((((a @ sill - g) * w) ** 2).sum()), [(n, float(sill[k]), float(reach[k])) for k, n in enumerate(names)]
+
+    rng, found = np.random.default_rng(seed), None
+    for turn in range(starts if ranged else 1):
+        begin = np.log(top * (np.linspace(0.1, 0.6, len(ranged)) if turn == 0 else rng.uniform(0.02, 1.5, len(ranged)))) if ranged else np.zeros(0)
+        cost, structures = best(downhill(lambda p: best(p)[0], begin))
+        if found is None or cost < found[0]:
+            found = cost, structures
+    left = model_value(h, found[1]) - g
+    spread = ((g - g.mean()) ** 2).sum()
+    return {"structures": found[1], "total_sill": sum(s for _, s, _ in found[1]), "ranges": [found[1][k][2] for k in ranged], "rmse": float(np.sqrt((left**2).mean())), "r2": float(1 - (left**2).sum() / spread) if spread > 0 else math.nan, "n_bins": int(len(h))}
+
+
+def non_negative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least squares without negative unknowns: the best of all choices of unknowns that are not 0 (they are few)."""
+    found = float((b**2).sum()), np.zeros(a.shape[1])
+    for size in range(1, a.shape[1] + 1):
+        for some in itertools.combinations(range(a.shape[1]), size):
+            x = np.linalg.lstsq(a[:, some], b, rcond=None)[0]
+            cost = float(((a[:, some] @ x - b) ** 2).sum())
+            if (x >= 0).all() and cost < found[0]:
+                full = np.zeros(a.shape[1])
+                full[list(some)] = x
+                found = cost, full
+    return found[1]
+
+
+def downhill(f, begin: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """The place of a least value near begin, by a simplex that is reflected, stretched and shrunk."""
+    if not len(begin):
+        return begin
+    points = [begin, *[begin + 0.4 * np.eye(len(begin))[k] for k in range(len(begin))]]
+    values = [f(p) for p in points]
+    for _ in range(rounds):
+        order = np.argsort(values)
+        points, values = [points[k] for k in order], [values[k] for k in order]
+        if abs(values[-1] - values[0]) <= 1e-14 * (abs(values[0]) + 1e-300) and max(np.abs(p - points[0]).max() for p in points) < 1e-9:
+            break
+        middle = np.mean(points[:-1], axis=0)
+        step = lambda t: (p := middle + t * (middle - points[-1]), f(p))  # noqa: B023, E731
+        p, v = step(1.0)
+        if v < values[0]:
+            q, u = step(2.0)
+            p, v = (q, u) if u < v else (p, v)
+        elif v >= values[-2]:
+            p, v = step(0.5 if v < values[-1] else -0.5)
+        if v < values[-1]:
+            points[-1], values[-1] = p, v
+        else:
+            points = [points[0], *[points[0] + 0.5 * (x - points[0]) for x in points[1:]]]
+            values = [values[0], *[f(x) for x in points[1:]]]
+    return points[int(np.argmin(values))]
+
+
+def effective_samples(points: DataFrame, structures: list[Structure], sample: int = 1500, draws: int = 5) -> dict:
+    """How many independent samples the places (x, y) are worth for their mean: n_eff, var_mean, total_sill, mean_offdiag_cov, n_points.
+
+    Var(mean) is the total sill over N plus (1 - 1/N) times the mean covariance of two different points, which is taken from `draws` samples of
+    `sample` points (by hash; all points where there are no more). So n_eff goes to N for white noise and to 1 for a field that is one value.
+    A single point is worth one; without points there is an error.
+    """
+    full = points.where("x is not null and y is not null").select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    n, total = full.count(), sum(s for _, s, _ in structures)
+    if not n:
+        raise ValueError("no points")
+    if sample < 2:
+        raise ValueError("a sample of two points at least")
+    off = []
+    for draw in range(1 if sample >= n else draws if n > 1 else 0):
+        p = full.orderBy(F.xxhash64("x", "y", F.lit(draw)), "x", "y").limit(sample).toPandas().to_numpy() if n > 1 else None
+        if p is not None:
+            d = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])[np.triu_indices(len(p), 1)]
+            off.append(float((total - model_value(d, structures)).mean()))
+    mean_off = float(np.mean(off)) if off else 0.0
+    var = total / n + (1 - 1 / n) * mean_off
+    return {"n_eff": total / var if var > 0 else math.inf, "var_mean": var, "total_sill": total, "mean_offdiag_cov": mean_off, "n_points": n}
+
+
+def standard_error_of_mean(points: DataFrame, structures: list[Structure], sample: int = 1500, draws: int = 5) -> float:
+    """Root of the variance of the places' mean under the model."""
+    return math.sqrt(effective_samples(points, structures, sample, draws)["var_mean"])
 
 
-def effective_samples(area: float, reach: float, sill: float, nugget: float = 0.0, steps: int = 2000) -> float:
+def disc_samples(area: float, reach: float, sill: float, nugget: float = 0.0, steps: int = 2000) -> float:
     """How many independent samples an area is worth under a spherical model: total variance over that of the disc's mean."""
     radius = math.sqrt(area / math.pi)
     total, h = 0.0, radius / steps

@@ -18,7 +18,7 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 def trend(df: DataFrame, keys: list[str], t: str = "t", z: str = "z", min_count: int = 3) -> DataFrame:
     """Least squares of z on t (seconds) for each group: slope a year, intercept at the first time of all, count, rmse with n - 2 (null to n = 2).
 
-    Sums run over times centred on the mean of all, so large epochs lose no digits. The slope is null where the times don't differ or there
+    Times count from the first of all, so large epochs lose no digits. The slope is null where the times don't differ or there
     are fewer than min_count values.
     """
     require_columns(df, *keys, t, z)
@@ -35,7 +35,8 @@ def trend(df: DataFrame, keys: list[str], t: str = "t", z: str = "z", min_count:
 def robust_trend(df: DataFrame, keys: list[str], keep, t: str = "t", z: str = "z", min_count: int = 3, rounds: int = 8, tol: float = 1e-3) -> DataFrame:
     """trend() reweighted by Tukey's biweight with one scale for all groups: the median deviation of absolute residuals about their median.
 
-    Each round is one aggregate by group and one global median; keep(df) writes a round's small table of fits so that lineage stays short.
+    Each round is one aggregate by group and one global median, found by counts; keep(df) writes a round's small table of fits so that lineage
+    stays short. rmse is that of the last weighted fit over all rows, with n - 2.
     """
     rows = df.where(F.col(z).isNotNull() & F.col(t).isNotNull())
     t0 = rows.agg(F.min(t)).first()[0]
@@ -43,9 +44,9 @@ def robust_trend(df: DataFrame, keys: list[str], keep, t: str = "t", z: str = "z
     fit = keep(trend(df, keys, t, z, min_count).where("slope is not null").select(*keys, "slope", "intercept", "n"))
     for _ in range(rounds):
         r = rows.join(fit, keys).withColumn("_r", F.abs(F.col(z) - F.col("intercept") - F.col("slope") * F.col("_y")))
-        mid = r.agg(F.median("_r")).first()[0]
-        mad = r.agg(F.median(F.abs(F.col("_r") - F.lit(mid)))).first()[0] if mid is not None else None
-        if not mad:
+        mid = median_of_all(r, "_r")
+        mad = median_of_all(r.select(F.abs(F.col("_r") - F.lit(mid)).alias("_d")), "_d") if mid is not None else None
+        if not mad or mad < 1e-9:
             break
         u = F.col("_r") / (TUKEY_C * MAD_TO_SIGMA * mad)
         w = F.when(u < 1, F.pow(1 - u * u, 2)).otherwise(0.0)
@@ -57,7 +58,8 @@ def robust_trend(df: DataFrame, keys: list[str], keep, t: str = "t", z: str = "z
         fit = fit.drop("_old")
         if moved is None or moved <= tol * size:
             break
-    return fit
+    sse = rows.join(fit, keys).groupBy(*keys).agg(F.sum(F.pow(F.col(z) - F.col("intercept") - F.col("slope") * F.col("_y"), F.lit(2.0))).alias("_s"))
+    return fit.join(sse, keys).withColumn("rmse", F.when(F.col("n") > 2, F.sqrt(F.col("_s") / (F.col("n") - 2)))).drop("_s")
 
 
 def nmad(df: DataFrame, keys: list[str], z: str) -> DataFrame:
@@ -81,38 +83,127 @@ def summarize(df: DataFrame, keys: list[str | Column], z: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(z).alias("n"), F.avg(z).alias("mean"), F.stddev_pop(z).alias("std"), F.median(z).alias("median"), q(0.16).alias("p16"), q(0.84).alias("p84"))
 
 
-def nd_binning(df: DataFrame, by: dict[str, list[float]], z: str, min_count: int = 1) -> DataFrame:
-    """Statistics of z in bins of each variable alone and of all together; bins are half-open but the last, which holds its upper edge."""
-    for v, edges in by.items():
-        b = F.lit(None).cast("int")
-        for k in range(len(edges) - 1):
-            top = F.col(v) <= edges[k + 1] if k == len(edges) - 2 else F.col(v) < edges[k + 1]
-            b = F.when((F.col(v) >= edges[k]) & top, k).otherwise(b)
-        df = df.withColumn(f"{v}_bin", b)
-    bins = [f"{v}_bin" for v in by]
-    sets = [[b] for b in bins] + ([bins] if len(bins) > 1 else [])
-    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(b) for b in bins]).agg(F.count(z).alias("n"), F.avg(z).alias("mean"), F.median(z).alias("median"), F.grouping_id().alias("_g"))
-    # A row whose own grouped bin is null fell outside the edges.
-    inside = F.lit(True)
-    for k, b in enumerate(bins):
-        inside = inside & (F.col(b).isNotNull() | (F.col("_g").bitwiseAND(F.lit(1 << (len(bins) - 1 - k))) != 0))
-    return out.where(inside & (F.col("n") >= min_count)).drop("_g")
-
-
-def integrate_flux(df: DataFrame, keys: list[str], rate: str, area_km2: float) -> DataFrame:
-    """Totals of a rate (negative is loss, m a year) over cells of equal area, as gigatonnes a year (positive is loss), with a robust total
-    from the median, percentiles, and the share of the largest 5 % of all cells among the losing ones."""
-    from pyspark.sql.window import Window
+def quantiles_of_all(df: DataFrame, z: str, shares: list[float]) -> list[float]:
+    """Exact quantiles of a whole column (linear between neighbours), each found by counts as kth() does; empty without values."""
+    rows = df.select(F.col(z).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    n, low, high = rows.agg(F.count("*"), F.min("_v"), F.max("_v")).first()
+    out = []
+    for q in shares if n else []:
+        at = q * (n - 1)
+        a = kth(rows, "_v", int(at), low, high)
+        out.append(a if at == int(at) else a + (at - int(at)) * (kth(rows, "_v", int(at) + 1, low, high) - a))
+    return out
+
+
+def quantile_edges(df: DataFrame, z: str, bins: int = 10) -> list[float]:
+    """Bin edges at a column's quantiles, without repeats; five equal bins where fewer than two would be left."""
+    q = sorted(set(quantiles_of_all(df, z, [k / bins for k in range(bins + 1)])))
+    if len(q) > 2 or not q:
+        return q or [0.0, 1.0]
+    return [q[0] + (q[-1] + 1e-9 - q[0]) * k / 5 for k in range(6)]
+
+
+def bin_of(v: Column, edges: list[float]) -> Column:
+    """The number of v's bin (from 0); bins are half-open but the last, which holds its upper edge. Null outside."""
+    inside = v.between(edges[0], edges[-1]) & ~F.isnan(v.cast("double"))
+    return F.when(inside, F.least(F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= v)), F.lit(len(edges) - 1)) - 1)
+
+
+def nd_binning(df: DataFrame, by: dict[str, list[float]], z: str, min_count: int = 30, statistics: tuple[str, ...] = ("count", "mean", "std", "median", "nmad")) -> DataFrame:
+    """Statistics of z in bins of each variable alone and of all together: nd (how many variables), <name>_bin and <name>_mid of each (null
+    where a variable doesn't take part), and the statistics. A row outside the edges of any variable, or without z, counts nowhere. nmad is null
+    in bins of fewer than min_count rows. by: edges by variable; an empty list takes quantile_edges."""
+    by = {v: sorted(set(edges)) if edges else quantile_edges(df, v) for v, edges in by.items()}
+    names = list(by)
+    binned = df.select(F.col(z).cast("double").alias("_z"), *[bin_of(F.col(v), e).alias(f"_{k}") for k, (v, e) in enumerate(by.items())])
+    inside = binned.where(F.col("_z").isNotNull() & ~F.isnan("_z")).dropna(subset=[f"_{k}" for k in range(len(names))])
+    sets = [{k} for k in range(len(names))] + ([set(range(len(names)))] if len(names) > 1 else [])
+    # -1: the variable takes no part.
+    group = lambda s: F.struct(F.lit(len(s)).alias("nd"), *[(F.col(f"_{k}") if k in s else F.lit(-1)).alias(f"b{k}") for k in range(len(names))])
+    rows = inside.select("_z", F.explode(F.array(*[group(s) for s in sets])).alias("g")).select("_z", "g.*")
+    keys = ["nd", *[f"b{k}" for k in range(len(names))]]
+    every = {"count": F.count("*"), "mean": F.avg("_z"), "std": F.stddev_pop("_z"), "median": F.median("_z")}
+    out = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.median("_z").alias("_m"), *[every[c].alias(c) for c in statistics if c in every])
+    if "nmad" in statistics:
+        off = rows.join(out.select(*keys, "_m"), keys).groupBy(*keys).agg((F.median(F.abs(F.col("_z") - F.col("_m"))) * MAD_TO_SIGMA).alias("_d"))
+        out = out.join(off, keys).withColumn("nmad", F.when(F.col("_n") >= min_count, F.col("_d")))
+    part = lambda k: F.when(F.col(f"b{k}") >= 0, F.col(f"b{k}"))
+    middles = lambda e: F.array(*[F.lit((e[i] + e[i + 1]) / 2) for i in range(len(e) - 1)])
+    return out.select("nd", *[c for k, v in enumerate(names) for c in (part(k).alias(f"{v}_bin"), F.get(middles(by[v]), part(k)).alias(f"{v}_mid"))], *statistics)
+
+
+def dispersion_model(binning: DataFrame, by: dict[str, list[float]], statistic: str = "nmad", min_count: int = 30):
+    """From nd_binning's rows a function of columns (in the order of by): the statistic, linear between the bins' middles, which hold it
+    beyond the outermost. Bins of fewer than min_count rows take the value of the nearest full one (by bins apart; ties to the first).
+
+    The table has a value for each bin and is read by the driver; the function is an expression over it as a literal.
+    """
+    import itertools
+    import math
+
+    names, mids = list(by), [[(a + b) / 2 for a, b in itertools.pairwise(e)] for e in by.values()]
+    shape = [len(m) for m in mids]
+    if math.prod(shape) > 10_000:
+        raise ValueError("more than 10,000 bins")
+    full = {tuple(r[f"{v}_bin"] for v in names): r[statistic] for r in binning.where(F.col("nd") == len(names)).where((F.col("count") >= min_count) & F.col(statistic).isNotNull()).collect()}
+    if not full:
+        raise ValueError("no bin has enough rows")
+    place = lambda c: min(full, key=lambda o: (sum((a - b) ** 2 for a, b in zip(c, o, strict=True)), o))
+    table = F.array(*[F.lit(float(full[place(c)])) for c in itertools.product(*map(range, shape))])
+
+    def model(*columns: Column) -> Column:
+        corner = [(F.lit(0), F.lit(1.0))]
+        for c, m in zip(columns, mids, strict=True):
+            if len(m) == 1:
+                corner = [(at * 1, w) for at, w in corner]
+                continue
+            v = F.least(F.greatest(c, F.lit(m[0])), F.lit(m[-1]))
+            k = F.least(F.size(F.filter(F.array(*map(F.lit, m)), lambda e: e <= v)), F.lit(len(m) - 1)) - 1
+            lo, hi = F.get(F.array(*map(F.lit, m)), k), F.get(F.array(*map(F.lit, m)), k + 1)
+            u = (v - lo) / (hi - lo)
+            corner = [x for at, w in corner for x in ((at * len(m) + k, w * (1 - u)), (at * len(m) + k + 1, w * u))]
+        out = F.lit(0.0)
+        for at, w in corner:
+            out = out + F.get(table, at.cast("int")) * w
+        return F.when(F.array_max(F.array(*[c.isNull() for c in columns])), None).otherwise(out)
+
+    return model
+
+
+def heteroscedasticity(df: DataFrame, by: dict[str, list[float]], z: str, min_count: int = 30) -> tuple[DataFrame, Column, float]:
+    """df with sigma, the dispersion that the variables explain, and standard: z over it; both scaled so that standard's scaled median
+    deviation is 1. Also the function of the variables as a column, and the scale."""
+    by = {v: sorted(set(edges)) if edges else quantile_edges(df, v) for v, edges in by.items()}
+    raw = dispersion_model(nd_binning(df, by, z, min_count), by, "nmad", min_count)(*[F.col(v) for v in by])
+    first = df.withColumn("_z", F.when(raw > 0, F.col(z) / raw))
+    mid = median_of_all(first, "_z")
+    mad = median_of_all(first.select(F.abs(F.col("_z") - mid).alias("_d")), "_d") if mid is not None else None
+    if not mad:
+        raise ValueError("the values don't vary")
+    scale = mad * MAD_TO_SIGMA
+    return first.withColumns({"sigma": raw * scale, "standard": F.col("_z") / scale}).drop("_z"), raw * scale, scale
 
+
+def integrate_flux(df: DataFrame, keys: list[str], rate: str, area_km2: float, clip: float = 250.0, quality: Column | None = None) -> DataFrame:
+    """Totals of a rate (negative is loss, m a year) over cells of equal area: gigatonnes a year (positive is loss), gt_clip with rates held to
+    +-clip, a robust total from the median, mean, median, deepest loss, percentiles, and the share of the largest 5 % of all cells among the
+    losing ones. quality: which cells count.
+
+    Nothing is ranked: the 5 % cut is the percentile that holds them, and cells that tie with it count in part, so that a key with a third of
+    all cells is partial aggregates.
+    """
     gt = 1e6 * area_km2 * 918.0 / 1e12
-    rows = df.where(F.col(rate).isNotNull())
-    size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    ranked = rows.join(size, keys).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(rate))))
-    loss = F.greatest(-F.col(rate), F.lit(0.0))
-    top = F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") * 0.05))
-    return ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), (F.count("*") * area_km2).alias("area_km2"), (-F.sum(rate) * gt).alias("gt"), (-F.median(rate) * F.count("*") * gt).alias("gt_robust"),
-        F.percentile(rate, F.lit(0.01)).alias("p1"), F.percentile(rate, F.lit(0.99)).alias("p99"), guarded_ratio(F.sum(F.when(top, loss).otherwise(0.0)), F.sum(loss)).alias("top5_share"))
+    rows = df.where(F.col(rate).isNotNull() & ~F.isnan(F.col(rate).cast("double")) & (F.lit(True) if quality is None else F.coalesce(quality, F.lit(False))))
+    q = lambda p: F.percentile(rate, F.lit(p))
+    loss = lambda c: F.greatest(-F.col(c), F.lit(0.0))
+    total = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), (F.count("*") * area_km2).alias("area_km2"), (-F.sum(rate) * gt).alias("gt"), (-F.sum(F.greatest(F.least(F.col(rate), F.lit(clip)), F.lit(-clip))) * gt).alias("gt_clip"),
+        (-F.median(rate) * F.count("*") * gt).alias("gt_robust"), F.avg(rate).alias("mean"), F.median(rate).alias("median"), F.min(rate).alias("deepest"), q(0.01).alias("p1"), q(0.99).alias("p99"),
+        q(0.05).alias("_q"), F.sum(loss(rate)).alias("_loss"))
+    # The percentile holds the top cells or a few more; those beyond leave at the largest value that it holds.
+    held = rows.select(*keys, F.col(rate).alias("_v")).join(total.select(*keys, "_q"), keys).where("_v <= _q").groupBy(*keys).agg(F.count("*").alias("_k"), F.sum(loss("_v")).alias("_top"), F.max("_v").alias("_cut"))
+    extra = loss("_cut") * (F.col("_k") - F.greatest(F.lit(1), F.floor(F.col("n") * 0.05)))
+    return total.join(held, keys).select(*keys, "n", "area_km2", "gt", "gt_clip", "gt_robust", "mean", "median", "deepest", "p1", "p99", guarded_ratio(F.col("_top") - extra, F.col("_loss")).alias("top5_share"))
 
 
 def plane(df: DataFrame, keys: list[str], x: str, y: str, z: str, min_count: int = 4) -> DataFrame:
@@ -147,11 +238,32 @@ def kth(rows: DataFrame, z: str, k: int, low: float, high: float, cells: int = 1
     return low
 
 
+#: Up to so many values are brought together for a median: one job instead of several, and a bounded group.
+FEW = 100_000
+
+
 def median_of_all(df: DataFrame, z: str) -> float | None:
-    """The exact median of a whole column, without bringing it together; None without values."""
+    """The exact median of a whole column, without bringing more than FEW values together; None without values."""
     rows = df.select(F.col(z).cast("double").alias("_v")).where("_v is not null")
     n, low, high = rows.agg(F.count("*"), F.min("_v"), F.max("_v")).first()
-    return None if not n else (kth(rows, "_v", (n - 1) // 2, low, high) + kth(rows, "_v", n // 2, low, high)) / 2
+    if n <= FEW:
+        return rows.agg(F.median("_v")).first()[0]
+    return (kth(rows, "_v", (n - 1) // 2, low, high) + kth(rows, "_v", n // 2, low, high)) / 2
+
+
+def ranked(df: DataFrame, z: str, name: str, cells: int = 4096) -> DataFrame:
+    """df with the rank of z among all rows (ties share the lowest). Rows are dealt to cells of z by its approximate quantiles; a cell's first
+    rank is the number of rows in the cells below, and rows are counted inside their cell alone. The table of cells has at most `cells` rows."""
+    from pyspark.sql.window import Window
+
+    cuts = df.agg(F.percentile_approx(z, [k / cells for k in range(1, cells)], 10 * cells)).first()[0] or []
+    literal = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if len(cuts) <= 64 else F.from_json(F.lit("[" + ",".join(repr(float(x)) for x in sorted(set(cuts))) + "]"), "array<double>")
+    celled = df.select("*", F.size(F.filter(literal, lambda e: e <= F.col(z))).alias("_cell"))
+    values = celled.where(F.col(z).isNotNull()).groupBy("_cell", F.col(z).alias("_v")).agg(F.count("*").alias("_n"))
+    below = values.groupBy("_cell").agg(F.sum("_n").alias("_c")).withColumn("_start", F.coalesce(F.sum("_c").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    inside = Window.partitionBy("_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = values.withColumn("_k", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(below), "_cell").select("_cell", "_v", (1 + F.col("_start") + F.col("_k")).alias(name))
+    return celled.join(ranks, (celled["_cell"] == ranks["_cell"]) & (F.col(z) == F.col("_v")), "left").drop("_cell", "_v")
 
 
 def standardize(df: DataFrame, strata: list[str], z: str) -> DataFrame:

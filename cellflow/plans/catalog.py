@@ -69,7 +69,7 @@ def cell_trend(spark, d):
 
 @query()
 def cell_trend_robust(spark, d):
-    return rounded(stats.robust_trend(events(spark, d), ["user_id"], keep, "t", "value"), 4, "slope", "intercept")
+    return rounded(stats.robust_trend(events(spark, d), ["user_id"], keep, "t", "value"), 4, "slope", "intercept", "rmse")
 
 
 @query("SELECT event_type, user_id, count(value) AS n, round(median(value), 6) AS median, round(mad(value) * 1.4826, 6) AS nmad FROM events GROUP BY 1, 2")
@@ -92,23 +92,42 @@ def stratified_summary(spark, d):
     return rounded(stats.summarize(rows, ["l_returnflag", "class", "year"], "l_extendedprice"), 4, "mean", "std", "median", "p16", "p84")
 
 
-@query("""WITH b AS (SELECT CASE WHEN l_quantity >= 1 AND l_quantity < 10 THEN 0 WHEN l_quantity >= 10 AND l_quantity < 30 THEN 1 WHEN l_quantity >= 30 AND l_quantity <= 50 THEN 2 END AS q,
- CASE WHEN l_discount >= 0.0 AND l_discount < 0.05 THEN 0 WHEN l_discount >= 0.05 AND l_discount <= 0.09 THEN 1 END AS k, l_extendedprice AS v FROM lineitem),
-u AS (SELECT q, NULL AS k, v FROM b WHERE q IS NOT NULL UNION ALL SELECT NULL, k, v FROM b WHERE k IS NOT NULL UNION ALL SELECT q, k, v FROM b WHERE q IS NOT NULL AND k IS NOT NULL)
-SELECT CAST(coalesce(q, -1) AS INT) AS l_quantity_bin, CAST(coalesce(k, -1) AS INT) AS l_discount_bin, count(v) AS n, round(avg(v), 4) AS mean, round(median(v), 4) AS median FROM u GROUP BY 1, 2""")
+BINS = """b AS (SELECT CASE WHEN l_quantity >= 1 AND l_quantity < 10 THEN 0 WHEN l_quantity >= 10 AND l_quantity < 30 THEN 1 WHEN l_quantity >= 30 AND l_quantity <= 50 THEN 2 END AS q,
+ CASE WHEN l_discount >= 0.0 AND l_discount < 0.05 THEN 0 WHEN l_discount >= 0.05 AND l_discount <= 0.09 THEN 1 END AS k, l_quantity, l_discount, l_extendedprice AS v FROM lineitem),
+i AS (SELECT * FROM b WHERE q IS NOT NULL AND k IS NOT NULL),
+u AS (SELECT 1 AS nd, q, NULL AS k, v FROM i UNION ALL SELECT 1, NULL, k, v FROM i UNION ALL SELECT 2, q, k, v FROM i)"""
+EDGES = {"l_quantity": [1, 10, 30, 50], "l_discount": [0.0, 0.05, 0.09]}
+
+
+@query(f"""WITH {BINS} SELECT CAST(nd AS INT) AS nd, CAST(coalesce(q, -1) AS INT) AS l_quantity_bin, CAST(coalesce(k, -1) AS INT) AS l_discount_bin, [5.5, 20, 40][q + 1]::DOUBLE AS l_quantity_mid, [0.025, 0.07][k + 1]::DOUBLE AS l_discount_mid,
+ count(*) AS count, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(median(v), 4) AS median, CASE WHEN count(*) >= 300 THEN round(mad(v) * 1.4826, 4) END AS nmad FROM u GROUP BY nd, q, k""")
 def nd_binning(spark, d):
-    return rounded(stats.nd_binning(table(spark, d, "lineitem"), {"l_quantity": [1, 10, 30, 50], "l_discount": [0.0, 0.05, 0.09]}, "l_extendedprice"), 4, "mean", "median").fillna(-1, ["l_quantity_bin", "l_discount_bin"])
+    """Rows with a discount above 0.09 count in no bin, the marginals of quantity included."""
+    out = stats.nd_binning(table(spark, d, "lineitem"), EDGES, "l_extendedprice", 300)
+    return rounded(out, 4, "mean", "std", "median", "nmad").fillna(-1, ["l_quantity_bin", "l_discount_bin"])
+
+
+@query(f"""WITH {BINS}, n AS (SELECT q, k, mad(v) * 1.4826 AS s FROM u WHERE nd = 2 GROUP BY q, k),
+c AS (SELECT l_orderkey, l_linenumber, least(greatest(l_quantity, 5.5), 40) AS x, least(greatest(l_discount, 0.025), 0.07) AS y FROM lineitem),
+w AS (SELECT *, CASE WHEN x < 20 THEN 0 ELSE 1 END AS i, CASE WHEN x < 20 THEN (x - 5.5) / 14.5 ELSE (x - 20) / 20 END AS a, (y - 0.025) / 0.045 AS e FROM c)
+SELECT l_orderkey, l_linenumber, round((1 - a) * (1 - e) * p.s + (1 - a) * e * r.s + a * (1 - e) * t.s + a * e * z.s, 3) AS sigma
+FROM w JOIN n p ON p.q = i AND p.k = 0 JOIN n r ON r.q = i AND r.k = 1 JOIN n t ON t.q = i + 1 AND t.k = 0 JOIN n z ON z.q = i + 1 AND z.k = 1""")
+def binned_dispersion(spark, d):
+    """The dispersion that quantity and discount explain, between the middles of bins."""
+    rows = table(spark, d, "lineitem")
+    model = stats.dispersion_model(stats.nd_binning(rows, EDGES, "l_extendedprice", 1), EDGES, "nmad", 1)
+    return rounded(rows.select("l_orderkey", "l_linenumber", model(F.col("l_quantity"), F.col("l_discount")).alias("sigma")), 3, "sigma")
 
 
 @query("""WITH r AS (SELECT o_orderpriority, (o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / 1000 AS r FROM orders),
 k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY r) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS c FROM r)
 SELECT o_orderpriority, count(*) AS n, CAST(count(*) * 0.0625 AS DOUBLE) AS area_km2, round(-sum(r) * 1e6 * 0.0625 * 918 / 1e12, 6) AS gt, round(-median(r) * count(*) * 1e6 * 0.0625 * 918 / 1e12, 6) AS gt_robust,
- round(quantile_cont(r, 0.01), 5) AS p1, round(quantile_cont(r, 0.99), 5) AS p99,
+ round(quantile_cont(r, 0.01), 5) AS p1, round(quantile_cont(r, 0.99), 5) AS p99, round(-sum(least(greatest(r, -40), 40)) * 1e6 * 0.0625 * 918 / 1e12, 6) AS gt_clip, round(avg(r), 6) AS mean, round(median(r), 5) AS median, round(min(r), 5) AS deepest,
  round(sum(CASE WHEN k <= greatest(1, floor(c * 0.05)) THEN greatest(-r, 0) ELSE 0 END) / sum(greatest(-r, 0)), 6) AS top5_share FROM k GROUP BY 1""")
 def flux_totals(spark, d):
     o = table(spark, d, "orders")
     r = o.crossJoin(F.broadcast(o.agg(F.avg("o_totalprice").alias("m")))).select("o_orderpriority", ((F.col("o_totalprice") - F.col("m")) / 1000).alias("r"))
-    return rounded(rounded(stats.integrate_flux(r, ["o_orderpriority"], "r", 0.0625), 6, "gt", "gt_robust", "top5_share"), 5, "p1", "p99")
+    return rounded(rounded(stats.integrate_flux(r, ["o_orderpriority"], "r", 0.0625, 40.0), 6, "gt", "gt_clip", "gt_robust", "top5_share", "mean"), 5, "p1", "p99", "median", "deepest")
 
 
 @query("SELECT user_id, min(value) AS low, max(value) AS high, CAST(arg_max(event_id, ts) AS BIGINT) AS newest, CAST(arg_min(event_id, ts) AS BIGINT) AS oldest, count(DISTINCT event_type) AS kinds, bool_and(value > 0) AS all_positive, count(*) FILTER (value > 10) AS over FROM events GROUP BY 1")
@@ -137,12 +156,12 @@ def mean_then_median(spark, d):
     return rounded(p.groupBy("user_id").agg(F.median("rate").alias("rate"), F.count("*").alias("groups")), 6, "rate")
 
 
-@query(f"""WITH {EV} SELECT a.event_id AS id, count(*) AS n, median(b.value) AS h FROM ev a JOIN ev b ON abs(a.value - b.value) <= 2 AND abs(a.t - b.t) <= 7200
+@query(f"""WITH {EV}, p AS (SELECT *, CAST(user_id % 10 AS DOUBLE) AS y FROM ev)
+SELECT a.event_id AS id, any_value(a.value) AS h, median(b.value) AS h_ref, count(*) AS n, round(any_value(a.value) - median(b.value), 6) AS residual FROM p a JOIN p b ON sqrt((a.value - b.value) ** 2 + (a.y - b.y) ** 2) <= 2.5 AND abs(a.t - b.t) <= 14400
  WHERE a.event_type = 'purchase' AND b.event_type = 'click' GROUP BY 1 HAVING count(*) >= 3""")
 def collocate(spark, d):
-    e = events(spark, d)
-    left = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("value").alias("x"), "t")
-    return joins.collocate(left, e.where("event_type = 'click'").select(F.col("value").alias("x"), "t", F.col("value").alias("h")), 2.0, 7200.0)
+    e = events(spark, d).select("event_id", "event_type", F.col("value").alias("x"), (F.col("user_id") % 10).cast("double").alias("y"), "t", F.col("value").alias("h"))
+    return rounded(joins.collocate(e.where("event_type = 'purchase'").withColumnRenamed("event_id", "id"), e.where("event_type = 'click'"), 2.5, 14400.0), 6, "residual")
 
 
 @query(f"""WITH {EV}, m AS (SELECT a.event_id AS id, b.t AS rt, b.value AS v, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.t - b.t), b.t, b.value) AS k FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.t - b.t) < 21600
@@ -170,13 +189,14 @@ def interval_overlaps(spark, d):
     return joins.overlaps(s.where("event_type = 'error'"), s.where("event_type = 'purchase'"), 5)
 
 
-@query("""WITH e AS (SELECT l_orderkey AS id, sum(l_quantity) AS v FROM lineitem WHERE l_linenumber = 7 GROUP BY 1), dd AS (SELECT CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+@query("""WITH e AS (SELECT l_orderkey AS id, sum(l_quantity) AS v FROM lineitem GROUP BY 1), dd AS (SELECT CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS v FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, coalesce(e.v, dd.v, 2.0) AS v FROM orders LEFT JOIN e ON e.id = o_orderkey LEFT JOIN dd ON dd.date = CAST(o_orderdate AS DATE)""")
 def id_then_date(spark, d):
+    """Orders without lines fall back to the day's lines."""
     li = table(spark, d, "lineitem")
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"))
-    exact = li.where("l_linenumber = 7").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").alias("v"))
-    return joins.id_then_date(rows, exact, li.where("l_linenumber = 1").select(F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("v")), F.lit(2.0))
+    exact = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").alias("v"))
+    return joins.id_then_date(rows, exact, li.select(F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("v")), F.lit(2.0))
 
 
 @query("""SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -209,14 +229,20 @@ def half_open_window(spark, d):
     return rounded(rows.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("total")), 2, "total")
 
 
-@query("SELECT user_id, count(value) AS n, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1 HAVING count(value) >= 5 AND stddev_pop(value) <= 20")
+@query("SELECT user_id, count(value) AS n, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1 HAVING count(value) >= 5 AND stddev_pop(value) <= (SELECT median(x) FROM (SELECT stddev_pop(value) AS x FROM events GROUP BY user_id))")
 def static_control_mask(spark, d):
-    return rounded(qc.static_mask(events(spark, d), ["user_id"], "value", 5, 20.0), 6, "std")
+    e = events(spark, d)
+    limit = stats.median_of_all(e.groupBy("user_id").agg(F.stddev_pop("value").alias("x")), "x")
+    return rounded(qc.static_mask(e, ["user_id"], "value", 5, limit or 0.0), 6, "std")
 
 
-@query("SELECT user_id, count(value) AS n, count(*) FILTER (value < 0.5) AS below FROM events GROUP BY 1 HAVING count(value) > 0 AND count(*) FILTER (value < 0.5) <= 1")
+@query("""SELECT c_custkey FROM customer WHERE c_nationkey < 20 AND c_acctbal > 0
+ AND c_custkey NOT IN (SELECT user_id FROM events WHERE value < 0.5 GROUP BY 1 HAVING count(*) >= 2)""")
 def min_extent(spark, d):
-    return qc.min_extent(events(spark, d), ["user_id"], "value", 0.5)
+    """Most customers (cells) have no event: they were never observed, and stay."""
+    c = table(spark, d, "customer")
+    cells = events(spark, d).select(F.col("user_id").alias("c_custkey"), "value")
+    return qc.min_extent(cells, c.where("c_nationkey < 20"), ["c_custkey"], "value", 0.5, 2, c.where("c_acctbal > 0"))
 
 
 @query("""WITH s AS (SELECT CAST(ts AS DATE) AS epoch, median(value) - (SELECT median(value) FROM events) AS end_p50, CASE WHEN count(*) % 7 <> 0 THEN avg(1 / (1 + abs(value))) END AS weight_mean FROM events GROUP BY 1)
@@ -242,7 +268,11 @@ def cohort_reject(spark, d):
     return qc.cohort_reject(rows, "k", ["l_quantity", "l_extendedprice"], 1.2).select("k.*", "reason")
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS i, list(DISTINCT user_id) AS u, stddev_pop(value) AS s FROM events GROUP BY 1),
+o AS (SELECT a.i, b.i AS j, len(list_intersect(a.u, b.u)) / least(len(a.u), len(b.u)) AS overlap, a.s AS si, b.s AS sj FROM n a JOIN n b ON b.i - a.i BETWEEN 1 AND 7),
+p AS (SELECT *, row_number() OVER (ORDER BY overlap DESC, i, j) AS k FROM o WHERE overlap >= 0.5),
+w(k, gone) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INT[]) UNION ALL SELECT p.k, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, CASE WHEN si > sj THEN i ELSE j END) END FROM w JOIN p ON p.k = w.k + 1)
+SELECT unnest(gone) AS dropped FROM w WHERE k = (SELECT max(k) FROM w)""")
 def greedy_dedup(spark, d):
     days = events(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.collect_set("user_id").alias("u"), F.stddev_pop("value").alias("s"))
     n = days.select(F.datediff("day", F.lit("2024-01-01").cast("date")).alias("i"), "u", "s")
@@ -282,10 +312,8 @@ def half_split_noise(spark, d):
 r AS (SELECT c_acctbal, s, rank() OVER (ORDER BY c_acctbal) AS ra, rank() OVER (ORDER BY s) AS rb FROM c) SELECT round(corr(c_acctbal, s), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r""")
 def agreement(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey", "c_acctbal").agg(F.sum("o_totalprice").alias("s"))
-    # Ranks from counts below each value: a sorted running sum over distinct values, not over rows.
     for v, r in (("c_acctbal", "ra"), ("s", "rb")):
-        ranks = c.groupBy(v).agg(F.count("*").alias("_n")).withColumn(r, 1 + F.coalesce(F.sum("_n").over(Window.orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-        c = c.join(ranks, v)
+        c = stats.ranked(c, v, r)
     return rounded(c.agg(F.corr("c_acctbal", "s").alias("pearson"), F.corr("ra", "rb").alias("spearman")), 6, "pearson", "spearman")
 
 
@@ -372,24 +400,53 @@ def eulerian_rate(spark, d):
     return rounded(rounded(budget.eulerian(*height_cells(spark, d), 250.0), 4, "divergence"), 3, "rate").select("iy", "ix", F.coalesce("n", F.lit(0)).alias("n"), "divergence", "rate")
 
 
-@query()
-def lagrangian_rate(spark, d):
-    """A shelf that thins along its flow, from the grid of prices: 11 x 50 cells, three start epochs."""
+def shelf(spark: SparkSession, d: str) -> DataFrame:
+    """Four start epochs of a shelf that thins along its flow and year by year, 11 x 50 cells with the prices' gaps; each start has its later
+    epochs as partners and a velocity that grows by a tenth a year."""
     g = price_grid(spark, d).withColumn("h", 300 - 0.005 * 250 * F.col("ix") + F.coalesce("v", F.lit(0.0)) * 1e-6)
     pack = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("iy", "ix", c.alias("v")))), lambda x: x["v"])
-    one = lambda dt: F.struct(F.lit(dt).alias("dt"), F.col("H0").alias("H1"))
-    field = g.groupBy(F.lit(0).alias("_")).agg(pack(F.col("h")).alias("H0"), pack(F.lit(200.0)).alias("vx"), pack(F.lit(0.0)).alias("vy"), pack(F.lit(0.0)).alias("div"), pack(F.lit(0.0)).alias("a_dot"))
-    starts = field.crossJoin(spark.range(3).select(F.col("id").alias("start"))).withColumn("partners", F.array(one(1.5), one(2.0)))
-    return rounded(budget.pair_median(budget.lagrangian(starts, (11, 50), 250.0)), 6, "rate")
+    field = g.groupBy(F.lit(0).alias("_")).agg(pack(F.col("h")).alias("h"), pack(F.lit(200.0)).alias("vx"), pack(F.lit(0.0)).alias("vy"), pack(F.lit(0.0)).alias("div"), pack(F.lit(0.3)).alias("a_dot"))
+    later = lambda k: F.transform("h", lambda x: x - 0.7 * k)
+    faster = lambda t: F.struct(t.cast("double").alias("t"), F.transform("vx", lambda x: x * (1 + 0.1 * t)).alias("vx"), F.col("vy"))
+    starts = field.crossJoin(F.broadcast(spark.range(4).select(F.col("id").alias("start"))))
+    partners = F.transform(F.sequence(F.col("start") + 1, F.lit(4).cast("long")), lambda k: F.struct(((k - F.col("start")) * 0.5).alias("dt"), later(k * 0.5).alias("H1")))
+    return starts.select("start", later(F.col("start") * 0.5).alias("H0"), "vx", "vy", "div", "a_dot", partners.alias("partners"), F.array(faster(F.lit(0.0)), faster(F.lit(1.0)), faster(F.lit(2.5))).alias("flow"))
 
 
-@query("""WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS v FROM embeddings),
-q AS (SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, (a.v - b.v) ** 2 AS s FROM p a JOIN p b ON a.id < b.id)
-SELECT CAST(least(floor(d / 0.02), 4) AS INT) AS bin, count(*) AS n, round(avg(s) / 2, 8) AS gamma, round((least(floor(d / 0.02), 4) + 0.5) * 0.02, 6) AS lag FROM q WHERE d <= 0.1 GROUP BY ALL HAVING count(*) >= 10""")
-def variogram(spark, d):
+@query()
+def lagrangian_rate(spark, d):
+    return rounded(budget.pair_median(budget.lagrangian(shelf(spark, d), (11, 50), 250.0)), 6, "rate")
+
+
+@query()
+def lagrangian_origin(spark, d):
+    return rounded(budget.pair_median(budget.lagrangian(shelf(spark, d), (11, 50), 250.0, output="origin")), 6, "rate")
+
+
+PLACES = "p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS v FROM embeddings)"
+LAGS = f"{PLACES}, q AS (SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.v - b.v AS dv FROM p a JOIN p b ON a.id < b.id), l AS (SELECT CASE WHEN d < 0.02 THEN 0 WHEN d < 0.05 THEN 1 ELSE 2 END AS bin, dv FROM q WHERE d < 0.1)"
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
     at = lambda k: F.get("embedding", k).cast("double")
-    p = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y"), at(2).alias("v"))
-    return rounded(rounded(spatial.variogram(p, 0.1, 5), 8, "gamma"), 6, "lag")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y"), at(2).alias("v"))
+
+
+@query(f"""WITH {LAGS}, m AS (SELECT bin, count(*) AS n, avg(dv * dv) / 2 AS matheron, (1.4826 * median(abs(dv))) ** 2 / 2 AS dowd FROM l GROUP BY 1 HAVING count(*) >= 10)
+SELECT CAST(bin AS INT) AS bin, [0.01, 0.035, 0.075][bin + 1]::DOUBLE AS lag, n, round(matheron, 8) AS matheron, round(dowd, 8) AS dowd FROM m""")
+def variogram(spark, d):
+    one = lambda how: rounded(spatial.variogram(places(spark, d), [0.0, 0.02, 0.05, 0.1], how, 10), 8, "gamma").withColumnRenamed("gamma", how)
+    return rounded(one("matheron").join(one("dowd").drop("lag", "n"), "bin"), 6, "lag")
+
+
+@query(f"""WITH {LAGS}, c AS (SELECT count(*) AS n FROM p), w AS (SELECT avg(0.25 - 0.06 - 0.19 * CASE WHEN d < 0.5 THEN 1.5 * d / 0.5 - 0.5 * (d / 0.5) ** 3 ELSE 1 END) AS off FROM q)
+SELECT n AS n_points, round(off, 9) AS mean_offdiag_cov, round(sqrt(0.25 / n + (1 - 1.0 / n) * off), 7) AS standard_error, round(0.25 / (0.25 / n + (1 - 1.0 / n) * off), 5) AS n_eff FROM w, c""")
+def error_of_mean(spark, d):
+    """All points at once: no more of them than a sample holds."""
+    p, model = places(spark, d), [("nugget", 0.06, 0.0), ("spherical", 0.19, 0.5)]
+    e = spatial.effective_samples(p, model, 5_000)
+    out = spark.createDataFrame([(e["n_points"], e["mean_offdiag_cov"], spatial.standard_error_of_mean(p, model, 5_000), e["n_eff"])], "n_points long, mean_offdiag_cov double, standard_error double, n_eff double")
+    return rounded(rounded(rounded(out, 9, "mean_offdiag_cov"), 7, "standard_error"), 5, "n_eff")
 
 
 # --- arrays, scalars, text
@@ -432,11 +489,11 @@ def polar_projection(spark, d):
     return events(spark, d).select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query("""SELECT vec_id, round(0.06 + 0.19 * CASE WHEN h < 1 THEN 1.5 * h - 0.5 * h ** 3 ELSE 1 END, 8) AS spherical, round(0.06 + 0.19 * (1 - exp(-3 * h)), 8) AS exponential, round(0.06 + 0.19 * (1 - exp(-3 * h * h)), 8) AS gaussian
+@query("""SELECT vec_id, round(0.06 + 0.19 * CASE WHEN h < 1 THEN 1.5 * h - 0.5 * h ** 3 ELSE 1 END, 8) AS spherical, round(0.06 + 0.19 * (1 - exp(-3 * h)), 8) AS exponential, round(0.06 + 0.19 * (1 - exp(-4 * h * h)), 8) AS gaussian
  FROM (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) * 20 AS h FROM embeddings)""")
 def variogram_models(spark, d):
     lag = F.abs(F.get("embedding", 0).cast("double")) * 20
-    return table(spark, d, "embeddings").select("vec_id", *[F.round(S.variogram_model(k, lag, 0.06, 0.19, 1.0), 8).alias(k) for k in ("spherical", "exponential", "gaussian")])
+    return table(spark, d, "embeddings").select("vec_id", *[F.round(spatial.model_column(lag, [("nugget", 0.06, 0.0), (k, 0.19, 1.0)]), 8).alias(k) for k in ("spherical", "exponential", "gaussian")])
 
 
 @query("""SELECT 'a' AS src, CAST(value AS DOUBLE) AS x, epoch_us(ts) / 1e6 AS y, value AS h, CAST(event_id + 0.5 AS DOUBLE) AS quality FROM events WHERE event_type = 'click' UNION ALL
@@ -481,7 +538,10 @@ def principal_components(spark, d):
     return spark.createDataFrame([(k, float(s), [float(x) for x in v]) for k, (s, v) in enumerate(zip(share, vectors, strict=True))], "component int, share double, vector array<double>")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, t, value, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM ev),
+f(user_id, k, t, level, variance) AS (SELECT user_id, k, t, value, CAST(4.0 AS DOUBLE) FROM o WHERE k = 1
+ UNION ALL SELECT o.user_id, o.k, o.t, f.level + (p.p / (p.p + 4.0)) * (o.value - f.level), (1 - p.p / (p.p + 4.0)) * p.p FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1, LATERAL (SELECT f.variance + 1e-5 * (o.t - f.t) AS p) p)
+SELECT user_id, t, round(level, 6) AS level, round(variance, 6) AS variance FROM f""")
 def kalman_series(spark, d):
     return rounded(solvers.kalman(events(spark, d), "user_id", "t", "value", 1e-5, 4.0), 6, "level", "variance")
 

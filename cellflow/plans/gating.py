@@ -80,6 +80,20 @@ def clipped_line(spark, d):
     return rounded(stats.clipped_line(rows, ["user_id"], "hour", "value", 10, 3.0), 6, "slope", "intercept", "mad")
 
 
+@query("""WITH w AS (SELECT vec_id, list_transform(embedding, lambda x, i: abs(CAST(x AS DOUBLE)) + CASE WHEN i > 21 THEN 3.0 ELSE 0.1 END) AS r FROM embeddings),
+b AS (SELECT vec_id, len(r) AS n, list_transform(r, lambda x, i: list_sum(r[greatest(i - 1, 1):least(i + 1, len(r))]) / 3) AS w FROM w),
+h AS (SELECT *, list_median(w[1:8]) AS m FROM b), f AS (SELECT *, list_avg(list_filter(w[1:8], lambda x: x <= m)) AS noise FROM h),
+p AS (SELECT *, list_transform(range(4, least(n - 4, n - 1) + 1), lambda g: {'g': g, 'p': greatest(w[g + 1] - noise, 0) ** 2}) AS p FROM f),
+s AS (SELECT *, list_sum(list_transform(p, lambda x: x.p)) AS s2, list_sum(list_transform(p, lambda x: x.p ** 2)) AS s4, list_sum(list_transform(p, lambda x: x.g * x.p)) AS m1 FROM p),
+c AS (SELECT vec_id, n, m1 / s2 AS centre, m1 / s2 - s2 * s2 / s4 / 2 AS gate, (sqrt(s4 / s2) + noise) / greatest(noise, 1e-6) AS snr, s2 FROM s),
+t AS (SELECT *, CASE WHEN NOT s2 > 0 THEN 'flat' WHEN snr < 0.5 THEN 'low_snr' WHEN gate < 4 OR gate > n - 4 THEN 'peak_oob' ELSE 'ok' END AS status FROM c)
+SELECT vec_id, CASE WHEN status = 'ok' THEN round(gate, 6) END AS gate, round(snr, 6) AS snr, round(centre, 6) AS peak, status FROM t""")
+def centre_of_echo(spark, d):
+    w = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x, i: F.abs(x.cast("double")) + F.when(i > 20, 3.0).otherwise(0.1)).alias("w"))
+    out = w.select("vec_id", waveforms.retrack(F.col("w"), "centroid", waveforms.Limits(early=8, snr=0.5, margin=4)).alias("r"))
+    return rounded(out.select("vec_id", "r.gate", "r.snr", "r.peak", "r.status"), 6, "gate", "snr", "peak")
+
+
 @query()
 def retracked(spark, d):
     """Each embedding as an echo: its absolute values on a rising edge."""

@@ -71,11 +71,11 @@ def in_polygon(spark, d):
     return events(spark, d).select("event_id", footprints.inside(F.col("value"), F.hour("ts") + 0.5, RING).alias("inside"))
 
 
-@query("""WITH s AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error'), c AS (SELECT d, count(*) AS n FROM s GROUP BY 1),
+@query("""WITH s AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events), c AS (SELECT d, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.d AS i, b.d AS j, count(*) AS shared FROM s a JOIN s b ON a.user_id = b.user_id AND a.d < b.d AND b.d - a.d <= 7 GROUP BY 1, 2)
 SELECT i, j, shared, round(shared / least(x.n, y.n), 9) AS share FROM p JOIN c x ON i = x.d JOIN c y ON j = y.d WHERE shared / least(x.n, y.n) >= 0.05""")
 def overlapping_epochs(spark, d):
-    return rounded(footprints.shared_cells(events(spark, d).where("event_type = 'error'").withColumn("day", F.to_date("ts")), "user_id", "day", 7, 0.05), 9, "share")
+    return rounded(footprints.shared_cells(events(spark, d).withColumn("day", F.to_date("ts")), "user_id", "day", 7, 0.05), 9, "share")
 
 
 @query("SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS k FROM events) WHERE k <= 50")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CONTROL = "easting double, northing double, h_mean double"
-
-
 def control_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Control points; lines from # on are comments, and a header line, where there is one, doesn't parse as numbers and goes."""
-    return spark.read.schema(CONTROL).option("comment", "#").option("mode", "PERMISSIVE").csv(path).dropna(subset=["easting", "northing"])
+    """Control points from the first three columns; lines from # on are comments, and a header line, where a file has one, is known by its first
+    name. A row whose first three aren't numbers is an error that shows it."""
+    text = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)") & ~F.col("value").rlike(r"(?i)^\s*\"?easting\b"))
+    parts = text.select("value", F.split("value", ",").alias("p"))
+    number = lambda k: F.coalesce(F.get("p", k).try_cast("double"), F.raise_error(F.concat(F.lit("no control point: "), "value")).cast("double"))
+    return parts.select(*[number(k).alias(c) for k, c in enumerate(("easting", "northing", "h_mean"))])
 
 
 def whitespace_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

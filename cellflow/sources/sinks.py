@@ -7,7 +7,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def write_cells(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -23,10 +22,10 @@ def params_key(params: dict) -> str:
 
 
 def cached(spark: SparkSession, root: str, params: dict, make) -> DataFrame:
-    """The table of these parameters: read if it is there, else made and written."""
+    """The table of these parameters: read if it was written whole (its writer leaves _SUCCESS), else made and written. Other failures to read
+    are errors."""
     path = f"{root}/{params_key(params)}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.parquet(path)
-        return spark.read.parquet(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

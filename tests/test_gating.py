@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from cellflow.operators import spectral, waveforms
 
 
-def test_pchip_keeps_lines_and_never_overshoots():
-    assert np.allclose(waveforms.pchip(np.arange(5.0), 10), np.arange(41) / 10)
-    y = np.array([0.0, 0.0, 1.0, 5.0, 5.0])
-    fine = waveforms.pchip(y, 10)
-    assert np.allclose(fine[::10], y) and (np.diff(fine) >= -1e-12).all()
+def test_pchip_keeps_lines_and_never_overshoots(spark):
+    rows = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0, 4.0],), ([0.0, 0.0, 1.0, 5.0, 5.0],)], "y array<double>")
+    line, steps = [np.array(r[0]) for r in rows.select(waveforms.monotone_cubic(F.col("y"), 10)).collect()]
+    assert np.allclose(line, np.arange(41) / 10)
+    assert np.allclose(steps[::10], [0, 0, 1, 5, 5]) and (np.diff(steps) >= -1e-12).all()
 
 
 def test_retrackers_find_an_edge(spark):
