@@ -104,6 +104,17 @@ def gaussian_mean(grid: DataFrame, v: str, sigma: float, reach: int) -> DataFram
     return grid.join(sums, ["iy", "ix"], "left")
 
 
+def blended(labels: DataFrame, label: str, sigma: float, reach: int) -> DataFrame:
+    """(iy, ix, label, weight): for each labelled cell how much of each label lies about it, by Gaussian weights within `reach` cells each way; a
+    cell's weights add up to 1."""
+    offsets = labels.sparkSession.range((2 * reach + 1) ** 2).select((F.floor(F.col("id") / (2 * reach + 1)) - reach).cast("int").alias("dy"), (F.col("id") % (2 * reach + 1) - reach).cast("int").alias("dx"))
+    weight = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / F.lit(2 * sigma * sigma))
+    some = labels.where(F.col(label).isNotNull())
+    spread = some.crossJoin(F.broadcast(offsets)).select((F.col("iy") + F.col("dy")).alias("iy"), (F.col("ix") + F.col("dx")).alias("ix"), label, weight.alias("_w"))
+    sums = spread.groupBy("iy", "ix", label).agg(F.sum("_w").alias("_w")).join(some.select("iy", "ix"), ["iy", "ix"], "left_semi")
+    return sums.select("iy", "ix", label, (F.col("_w") / F.sum("_w").over(Window.partitionBy("iy", "ix"))).alias("weight"))
+
+
 def gather_bilinear(points: DataFrame, grid: DataFrame, v: str, clamp: tuple[int, int] | None = None) -> DataFrame:
     """For points (id, fy, fx in cells) the value between their four cells; null outside or where one of the four is null. clamp: the grid's
     (rows, columns); points outside then take the value at the nearest place on its edge. Four keys a point are joined and summed: no search."""

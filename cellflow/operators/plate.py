@@ -54,7 +54,42 @@ def steady_state(waves: DataFrame, thickness: float, delta: float, along: float
     return out.drop("_kh", "_a", "_re", "_im")
 
 
+def flotation_transfer(response: DataFrame, delta: float) -> DataFrame:
+    """response (of steady_state) with t_re, t_im: what a thickness inferred from the surface by flotation shows of the true one, surface over
+    the floating share of surface less base; 1 at wavenumber 0, null where surface and base move alike."""
+    share = delta / (1 + delta)
+    dr, di = (F.col("h_re") - F.col("s_re")) * share, (F.col("h_im") - F.col("s_im")) * share
+    size = F.nullif(dr * dr + di * di, F.lit(0.0))
+    flat = (F.col("kx") == 0) & (F.col("ky") == 0)
+    re, im = (F.col("h_re") * dr + F.col("h_im") * di) / size, (F.col("h_im") * dr - F.col("h_re") * di) / size
+    return response.withColumns({"t_re": F.when(flat, 1.0).otherwise(re), "t_im": F.when(flat, 0.0).otherwise(im)})
+
+
 def secant_viscosity(exx: Column, eyy: Column, exy: Column, softness: float, n: float = 3.0, least: float = 1e-12) -> Column:
     """Viscosity of power-law ice in plane stress at the given strain rates."""
     rate2 = F.greatest(exx * exx + eyy * eyy + exx * eyy + exy * exy, F.lit(least * least))
     return 0.5 * softness ** (-1 / n) * F.pow(rate2, F.lit((1 - n) / (2 * n)))
+
+
+def steady_multiplier(thickness: float, delta: float, along: float = 0.0, across: float = 0.0, stretch: float = 0.0, part: str = "surface"):
+    """steady_state's response of the surface or the base as a function of wavenumbers (numpy, complex), for spectral.apply_multiplier; with
+    spectral.damped_inverse it turns a surface back into the melt behind it."""
+    import numpy as np
+
+    if part not in ("surface", "base"):
+        raise ValueError("part: surface or base")
+
+    def multiplier(ky: np.ndarray, kx: np.ndarray) -> np.ndarray:
+        kh = np.hypot(ky, kx) * thickness
+        x = np.where(kh > 0, kh, 1.0)
+        e1, e2 = np.exp(-x), np.exp(-2 * x)
+        below = x * (1 - 2 * (1 + 2 * x * x) * e2 + e2 * e2)
+        r, b = (1 + 4 * x * e2 - e2 * e2) / below, 2 * e1 * ((x + 1) + (x - 1) * e2) / below
+        a = (kx * along + ky * across) * thickness
+        den = delta * (r * r - b * b) - stretch * (delta + 1) * r + stretch**2 - a * a + 1j * (a * (delta + 1) * r - 2 * stretch * a)
+        limit = stretch - delta / (2 * (delta + 1))
+        if part == "surface":
+            return np.where(kh > 0, -delta * b / den, delta / (delta + 1) / limit)
+        return np.where(kh > 0, ((r - stretch) + 1j * a) / den, -1 / (delta + 1) / limit)
+
+    return multiplier

@@ -174,11 +174,12 @@ def pair_epoch_bias(pairs: DataFrame, rounds: int = 10, ridge: float = 0.1) -> t
     return float(x[0]), biases, told
 
 
-def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 40) -> DataFrame:
+def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 40, seeds: str = "quantiles") -> DataFrame:
     """(key, cluster): Lloyd's rounds over standardised features until no row changes its cluster (`rounds` at most).
 
-    Centres start at the rows nearest to evenly spaced quantiles along the first principal component (of rows alike the smallest key); a
-    centre that loses all rows stays. A round is one aggregate; centres are k small rows. An empty table gives one.
+    Centres start at the rows nearest to evenly spaced quantiles along the first principal component (of rows alike the smallest key); or, with
+    seeds "farthest", at the row nearest to the mean and then each time at the row farthest from all centres so far (fewer than k where no row
+    is off them). A centre that loses all rows stays. A round is one aggregate; centres are k small rows. An empty table gives one.
     """
     one = df.select(vector).first()
     if one is None:
@@ -207,13 +208,27 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 40) -> Da
         axis /= max(np.linalg.norm(axis), 1e-30)
     dot = F.aggregate(F.zip_with("_z", lits(axis), lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
     placed = z.withColumn("_p", dot)
-    quantiles = placed.agg(F.percentile("_p", F.array(*[F.lit((i + 0.5) / k) for i in range(k)]))).first()[0]
-    seeds = placed.agg(*[F.min(F.struct(F.abs(F.col("_p") - F.lit(q)).alias("d"), F.col(key).alias("key"), F.col("_z").alias("z"))).alias(f"s{i}") for i, q in enumerate(quantiles)]).first()
-    centres = [list(s["z"]) for s in seeds]
+    def distance(c: list[float]):
+        return F.aggregate(F.zip_with("_z", lits(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y)
+
+    if seeds == "farthest":
+        one = placed.agg(F.min(F.struct(distance([0.0] * dim).alias("d"), F.col(key).alias("key"), F.col("_z").alias("z"))).alias("s")).first()["s"]
+        centres = [list(one["z"])]
+        while len(centres) < k:
+            off = F.least(*[distance(c) for c in centres], F.lit(float("inf")))
+            far = placed.agg(F.min(F.struct((-off).alias("d"), F.col(key).alias("key"), F.col("_z").alias("z"))).alias("s")).first()["s"]
+            if far["d"] >= 0:
+                break
+            centres.append(list(far["z"]))
+    elif seeds == "quantiles":
+        quantiles = placed.agg(F.percentile("_p", F.array(*[F.lit((i + 0.5) / k) for i in range(k)]))).first()[0]
+        found = placed.agg(*[F.min(F.struct(F.abs(F.col("_p") - F.lit(q)).alias("d"), F.col(key).alias("key"), F.col("_z").alias("z"))).alias(f"s{i}") for i, q in enumerate(quantiles)]).first()
+        centres = [list(s["z"]) for s in found]
+    else:
+        raise ValueError("seeds: quantiles or farthest")
 
     def nearest(to: list[list[float]]):
-        dist = lambda c: F.aggregate(F.zip_with("_z", lits(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y)
-        return F.array_min(F.array(*[F.struct(dist(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(to)]))["i"]
+        return F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(to)]))["i"]
 
     before = None
     for _ in range(rounds):
@@ -250,6 +265,60 @@ def principal_components(df: DataFrame, vector: str, n: int) -> tuple[np.ndarray
     return values[order] / values.sum(), vectors[:, order].T
 
 
+def space_time_modes(cells: DataFrame, n: int) -> tuple[DataFrame, DataFrame, list[float]]:
+    """The first n modes of values (cell, epoch, v) about each cell's mean: (epoch, mode, coefficient), (cell, mode, value) and their shares of the
+    variance. Cells that lack an epoch are left out.
+
+    Products of epochs are added up by partition (epochs x epochs numbers, whatever the cells); a cell's part of a mode is then its values'
+    product with the mode's coefficients. The first cell (by order) with a value other than 0 has a positive one, which fixes the sign.
+    """
+    spark, kinds = cells.sparkSession, dict(cells.dtypes)
+    epochs = [r["epoch"] for r in cells.select("epoch").distinct().orderBy("epoch").collect()]
+    if not epochs:
+        raise ValueError("no epochs")
+    full = cells.where("v is not null").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("epoch", F.col("v").cast("double").alias("v")))).alias("s"))
+    full = full.where(F.size("s") == len(epochs)).select("cell", F.transform("s", lambda x: x["v"]).alias("v"))
+    mean = F.aggregate("v", F.lit(0.0), lambda x, y: x + y) / len(epochs)
+    centred = full.select("cell", mean.alias("m"), "v").select("cell", F.transform("v", lambda x: x - F.col("m")).alias("v"))
+
+    def products(batches):
+        total = np.zeros((len(epochs), len(epochs)))
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy())
+                total += x.T @ x
+        yield pd.DataFrame({"i": np.arange(len(epochs)), "v": list(total)})
+
+    parts = centred.select("v").mapInPandas(products, "i int, v array<double>").groupBy("i").agg(F.array(*[F.sum(F.get("v", j)) for j in range(len(epochs))]).alias("v")).orderBy("i").collect()
+    gram = np.array([r["v"] for r in parts])
+    values, vectors = np.linalg.eigh(gram)
+    n = min(n, len(epochs) - 1)
+    order = np.argsort(values)[::-1][:n]
+    size = np.sqrt(np.maximum(values[order], 0.0))
+    weights = [[float(w) for w in vectors[:, k] / max(s, 1e-300)] for k, s in zip(order, size, strict=True)]
+    part = lambda w: F.aggregate(F.zip_with("v", F.array(*map(F.lit, w)), lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    modes = centred.select("cell", *[part(w).alias(f"m{k}") for k, w in enumerate(weights)])
+    first = modes.agg(*[F.min_by(f"m{k}", F.when(F.abs(f"m{k}") > 1e-12, F.col("cell"))).alias(f"m{k}") for k in range(n)]).first() if n else {}
+    sign = [-1.0 if (first[f"m{k}"] or 0.0) < 0 else 1.0 for k in range(n)]
+    long = modes.select("cell", F.posexplode(F.array(*[F.col(f"m{k}") * sign[k] for k in range(n)])).alias("mode", "value")) if n else modes.select("cell", F.lit(0).alias("mode"), F.lit(0.0).alias("value")).limit(0)
+    rows = [(e, k, float(sign[k] * size[k] * vectors[i, order[k]])) for i, e in enumerate(epochs) for k in range(n)]
+    total = max(float(np.trace(gram)), 1e-300)
+    return spark.createDataFrame(rows, f"epoch {kinds['epoch']}, mode int, coefficient double"), long, [float(v) / total for v in values[order]]
+
+
+def fused_field(cells: DataFrame, at: list[float], n: int, alpha: float = 1e-3, season: bool = True) -> DataFrame:
+    """(cell, t, v, std): a field at the times `at` from epochs (cell, epoch in years, v): each mode's coefficients are smoothed over time and
+    put back on the cells' means. std is that of the modes' coefficients, carried to the cells."""
+    spark = cells.sparkSession
+    coefficients, modes, _ = space_time_modes(cells, n)
+    obs = coefficients.select("mode", F.col("epoch").cast("double").alias("t"), F.col("coefficient").alias("v"), F.lit(alpha).alias("alpha"))
+    asked = coefficients.select("mode").distinct().crossJoin(F.broadcast(spark.createDataFrame([(float(t),) for t in at], "t double")))
+    series = F.broadcast(smooth_series(obs, asked, "mode", season))  # a row for each mode and time
+    mean = cells.groupBy("cell").agg(F.avg("v").alias("_m"))
+    put = modes.join(series, "mode").groupBy("cell", "t").agg(F.sum(F.col("value") * F.col("mean")).alias("_v"), F.sqrt(F.sum(F.pow(F.col("value") * F.col("std"), F.lit(2.0)))).alias("std"))
+    return put.join(mean, "cell").select("cell", "t", (F.col("_m") + F.col("_v")).alias("v"), "std")
+
+
 def kalman(df: DataFrame, key: str, t: str, v: str, process: float, noise: float) -> DataFrame:
     """A random-walk filter of each key's series in order of time: (key, t, level, variance). A series is one group."""
 

@@ -80,11 +80,11 @@ def spectral_divergence(spark, d):
 
 @query()
 def tilted_epochs(spark, d):
-    """A plane for each month's orders over customers laid out on a square."""
-    o = table(spark, d, "orders").where("o_orderdate < '1993-01-01'")
-    cells = o.groupBy(F.col("o_custkey").alias("cell"), F.trunc("o_orderdate", "month").alias("epoch")).agg(F.avg("o_totalprice").alias("z"))
+    """A plane for each quarter's orders over customers laid out on a square."""
+    o = table(spark, d, "orders")
+    cells = o.groupBy(F.col("o_custkey").alias("cell"), F.trunc("o_orderdate", "quarter").alias("epoch")).agg(F.avg("o_totalprice").alias("z"))
     side = F.col("cell") % 40
-    rows = cells.select("cell", "epoch", F.datediff("epoch", F.lit("1992-01-01")).cast("double").alias("t"), (side * 250.0).alias("x"), (F.floor(F.col("cell") / 40) * -250.0).alias("y"), (F.col("z") / 1e4).alias("z"))
+    rows = cells.select("cell", "epoch", F.datediff("epoch", F.lit("1995-01-01")).cast("double").alias("t"), (side * 250.0).alias("x"), (F.floor(F.col("cell") / 40) * -250.0).alias("y"), (F.col("z") / 1e4).alias("z"))
     return rounded(rounded(solvers.tilt_fit(rows, keep, 10.0, 0.01, (1e-4, 1e-4), 1.0, rounds=2)[0], 10, "tilt_dx", "tilt_dy"), 6, "tilt_dz", "weight_mean", "weight_frac_kept", "xref", "yref")
 
 
@@ -120,3 +120,12 @@ def parcel_lines(spark, d):
     at = F.sequence(F.lit(0), F.lit(4))
     tiles = s.select(F.lit(0).cast("long").alias("tile"), F.transform(at, lambda k: k * 0.5).alias("times"), F.transform(at, lambda k: F.transform("H0", lambda x: x - 0.35 * k)).alias("H"), "vx", "vy", "div", "a_dot")
     return rounded(budget.parcel_rates(tiles, (11, 50), 250.0), 5, "rate", "span", "rmse", "stderr")
+
+
+@query(f"""WITH {GRID}, l AS (SELECT iy, ix, CASE WHEN v < 50000 THEN 0 WHEN v < 56000 THEN 1 ELSE 2 END AS bin FROM g WHERE v IS NOT NULL), o AS (SELECT y, x, exp(-(x * x + y * y) / 4.5) AS w FROM range(-2, 3) AS a(y), range(-2, 3) AS b(x)),
+s AS (SELECT l.iy + y AS iy, l.ix + x AS ix, bin, sum(w) AS w FROM l, o GROUP BY 1, 2, 3)
+SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, bin, round(w / sum(w) OVER (PARTITION BY iy, ix), 8) AS weight FROM s WHERE (iy, ix) IN (SELECT (iy, ix) FROM l)""")
+def blended_bins(spark, d):
+    """The shares of three classes of price about each cell."""
+    g = price_grid(spark, d).where("v is not null").select("iy", "ix", F.when(F.col("v") < 50000, 0).when(F.col("v") < 56000, 1).otherwise(2).alias("bin"))
+    return rounded(grid.blended(g, "bin", 1.5, 2), 8, "weight")

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from cellflow.plans import catalog, gating, geometry, scoring  # noqa: E402
+from cellflow.plans import campaigns, catalog, gating, geometry, scoring  # noqa: E402
 from oracle import same  # noqa: E402
 
 D = "/root/testdata/sf0.001"
@@ -20,7 +20,7 @@ def test_same_as_sql(spark, name):
 
 
 def test_geometry_is_in_the_catalog():
-    assert catalog.QUERIES["epoch_scores"] is scoring.epoch_scores and catalog.QUERIES["plate_response"] is geometry.plate_response and catalog.QUERIES["spread_gate"] is gating.spread_gate
+    assert catalog.QUERIES["grown_box"] is campaigns.grown_box and catalog.QUERIES["epoch_scores"] is scoring.epoch_scores and catalog.QUERIES["plate_response"] is geometry.plate_response and catalog.QUERIES["spread_gate"] is gating.spread_gate
 
 
 def test_entry_names_match():

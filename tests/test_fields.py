@@ -277,3 +277,70 @@ def test_parcel_lines(spark):
     plain = {(r.iy, r.ix): r.rate for r in budget.parcel_rates(tiles, (n, n), 250.0, rounds=0).collect()}
     assert abs(plain[5, 5] - b) > 1 and abs(plain[2, 2] - b) < 0.01
     assert budget.parcel_rates(tiles, (n, n), 250.0, min_span=5.0).count() == 0
+
+
+def test_space_time_modes(spark):
+    from cellflow.operators import solvers
+
+    rng = np.random.default_rng(12)
+    t = np.arange(10) / 2
+    x = np.outer(np.sin(t), rng.normal(size=30)) * 3 + np.outer(t, rng.normal(size=30)) + rng.normal(0, 0.05, (10, 30)) + rng.normal(size=30) * 10
+    rows = [(c, float(t[e]), float(x[e, c])) for e in range(10) for c in range(30)] + [(99, 0.0, 5.0)]
+    df = spark.createDataFrame(rows, "cell int, epoch double, v double")
+    coefficients, modes, shares = solvers.space_time_modes(df, 2)
+    u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    got = {(r.epoch, r.mode): r.coefficient for r in coefficients.collect()}
+    on = {(r.cell, r.mode): r.value for r in modes.collect()}
+    for k in range(2):
+        sign = np.sign(vt[k, 0])
+        assert np.allclose([got[float(v), k] for v in t], sign * u[:, k] * s[k]) and np.allclose([on[c, k] for c in range(30)], sign * vt[k])
+    assert np.allclose(shares, (s[:2] ** 2) / (s**2).sum()) and (99, 0) not in on
+    field = {(r.cell, r.t): r.v for r in solvers.fused_field(df.where("cell < 99"), [1.0, 1.25], 2, season=False).collect()}
+    truth = {c: (x[2, c], (x[2, c] + x[3, c]) / 2) for c in range(30)}
+    assert np.sqrt(np.mean([(field[c, 1.0] - truth[c][0]) ** 2 for c in range(30)])) < 0.4 and np.sqrt(np.mean([(field[c, 1.25] - truth[c][1]) ** 2 for c in range(30)])) < 0.6
+
+
+def test_melt_behind_a_surface(spark):
+    from cellflow.operators import plate
+
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[0:20, 0:24]
+    melt = -5 * np.exp(-((y - 9) ** 2 + (x - 12) ** 2) / 20.0) + rng.normal(0, 0.01, (20, 24))
+    rows = [("f", int(a), int(b), float(melt[a, b])) for a, b in zip(y.ravel(), x.ravel(), strict=True)]
+    grid_of = spark.createDataFrame(rows, "field string, iy int, ix int, v double")
+    response = plate.steady_multiplier(300.0, 1027 / 918 - 1, 0.2, 0.0, 0.01)
+    waves = plate.steady_state(plate.wavenumbers(spark, 6, 8, 700.0), 300.0, 1027 / 918 - 1, 0.2, 0.0, 0.01).collect()
+    for part, re, im in (("surface", "h_re", "h_im"), ("base", "s_re", "s_im")):
+        m = plate.steady_multiplier(300.0, 1027 / 918 - 1, 0.2, 0.0, 0.01, part)
+        assert all(abs(complex(m(np.array([r.ky]), np.array([r.kx]))[0]) - complex(r[re], r[im])) < 1e-6 for r in waves)
+    surface = spectral.apply_multiplier(grid_of, "field", "v", 700.0, response)
+    back = spectral.apply_multiplier(surface, "field", "v", 700.0, spectral.damped_inverse(response, 1e-9))
+    assert max(abs(r.v - melt[r.iy, r.ix]) for r in back.collect()) < 0.3
+
+
+def test_difference_files_and_logs(spark, tmp_path):
+    d = tmp_path / "diff"
+    d.mkdir()
+    (d / "a.csv").write_text("# Max difference:       3.5\n# Median difference:   1.0\n# Mean difference: 0.9\n-100.0,-75.0,1.5\n-100.1,-75.1,0.25\nbad,row,x\n-100.2,-75.2,3.5\n")
+    (d / "b.csv").write_text("1,2,4\n3,4,6\n")
+    (d / "c.csv").write_text("# Min difference: -1\n")
+    out = {r.file[-5]: r for r in readers.difference_summary(spark, str(d)).collect()}
+    assert (out["a"]["max"], out["a"]["median"], out["a"].n, out["a"].mad) == (3.5, 1.0, 3, 0.75) and abs(out["a"].rmse - np.sqrt((1.5**2 + 0.25**2 + 3.5**2) / 3)) < 1e-12
+    assert (out["b"]["median"], out["b"].n, out["b"].mad, out["b"]["max"]) == (5.0, 2, 1.0, None) and (out["c"]["min"], out["c"].n, out["c"].mad) == (-1.0, 0, None)
+    for name, text in (("s1-log-align-01.txt", "Translation vector magnitude (meters): 9"), ("s1-log-align-02.txt", "x\nTranslation vector magnitude (meters): 2.6391508\n"), ("s2-log-align-01.txt", "nothing")):
+        (tmp_path / name).write_text(text)
+    files = spark.createDataFrame([(f"{tmp_path}/{p.name}",) for p in tmp_path.glob("*.txt")], "file string")
+    last = {r.run.rsplit("/", 1)[1]: r.file for r in readers.latest_logs(files).collect()}
+    assert last["s1"].endswith("02.txt") and readers.log_magnitude(spark, last["s1"]).first().metres == 2.6391508 and readers.log_magnitude(spark, last["s2"]).first().metres is None
+    head = spark.createDataFrame([(1, '<Start_Lat unit="10-6 deg">-75123456</Start_Lat> Stop_Lat=-74000000'), (2, "Stop_Lat=1")], "id int, t string")
+    got = {r.id: r.s for r in head.select("id", readers.header_segment(F.col("t"), {"start": "Start_Lat", "stop": "Stop_Lat"}).alias("s")).collect()}
+    assert abs(got[1].start + 75.123456) < 1e-9 and got[1].stop == -74.0 and got[2] is None
+
+
+def test_axes_and_lonlat_grid(spark):
+    assert readers.axes(0.0, 1000.0, -500.0, 0.0, 250.0) == (2, 4, 0.0, 0.0) and readers.axes(0.0, 1001.0, 0.0, 1.0, 250.0)[:2] == (1, 5)
+    points = spark.createDataFrame([(10.0 + 0.5 * x, -70.0 - y, float(10 * y + x)) for y in range(3) for x in range(4)], "lon double, lat double, v double")
+    cells = {(r.iy, r.ix): r.v for r in readers.lonlat_grid(points, "v").collect()}
+    assert cells == {(2 - y, x): float(10 * y + x) for y in range(3) for x in range(4)}
+    with pytest.raises(ValueError):
+        readers.lonlat_grid(points.where("v <> 11"), "v")

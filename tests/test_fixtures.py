@@ -87,6 +87,16 @@ def test_kmeans_as_numpy(spark):
     assert rounds > 4 and [got[i] for i in range(400)] == label.tolist()
 
 
+def test_farthest_seeds_reach_a_small_patch(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 0.01, (300, 2)), [[5.0, 5.0], [5.01, 5.0], [-4.0, 6.0]]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    got = {r.id: r.cluster for r in solvers.kmeans(df, "id", "v", 3, seeds="farthest").collect()}
+    assert len({got[i] for i in range(300)}) == 1 and got[300] == got[301] and len({got[0], got[300], got[302]}) == 3
+    one = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "id int, v array<double>")
+    assert {r.cluster for r in solvers.kmeans(one, "id", "v", 3, seeds="farthest").collect()} == {0}
+
+
 def test_greedy_dedup_rules(spark):
     p = spark.createDataFrame([(1, 2, 0.9, 0.1, 0.2), (2, 3, 0.8, 0.1, 0.1), (3, 4, 0.7, 0.3, 0.3), (5, 6, 0.6, None, 0.1)], "i int, j int, overlap double, sigma_i double, sigma_j double")
     assert qc.greedy_dedup(p) == [2, 4, 6]

@@ -86,3 +86,19 @@ def test_clipped_line(spark):
     out = {r["k"]: r for r in stats.clipped_line(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
     assert out["a"]["n"] == 29 and abs(out["a"]["slope"] - 2) < 1e-9 and abs(out["a"]["intercept"] - 1) < 1e-9 and out["a"]["mad"] < 1e-9
     assert out["few"]["n"] == 1 and out["few"]["slope"] is None and "none" not in out
+
+
+def test_flotation_transfer(spark):
+    """Long waves float; the ratio of responses as complex numbers."""
+    from cellflow.operators import plate
+
+    delta = 1027 / 918 - 1
+    rows = plate.flotation_transfer(plate.steady_state(plate.wavenumbers(spark, 9, 12, 3000.0), 400.0, delta, 0.3, -0.1), delta).collect()
+    for r in rows:
+        if r.kx == r.ky == 0:
+            assert (r.t_re, r.t_im) == (1.0, 0.0)
+        else:
+            want = (r.h_re + 1j * r.h_im) / (delta / (1 + delta) * ((r.h_re - r.s_re) + 1j * (r.h_im - r.s_im)))
+            assert abs(r.t_re + 1j * r.t_im - want) < 1e-9
+    longest = min((r for r in rows if r.kx or r.ky), key=lambda r: r.kx**2 + r.ky**2)
+    assert abs(longest.t_re + 1j * longest.t_im - 1) < 0.1
