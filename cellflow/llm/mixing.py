@@ -11,6 +11,7 @@ with a third of all rows is many groups.
 
 from __future__ import annotations
 
+import heapq
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame
@@ -42,13 +43,18 @@ def shares(weights: dict[str, int], period: int = PERIOD) -> dict[str, int]:
 
 
 def schedule(share: dict[str, int]) -> list[tuple[str, int]]:
-    """The period's slots as (source, number of its block): earliest deadline first among released blocks, ties by name."""
-    period, done, slots = sum(share.values()), dict.fromkeys(sorted(share), 0), []
+    """The period's slots as (source, number of its block): earliest deadline first among released blocks, ties by name. Two heaps hold each
+    source's next block, by release until it is released and then by deadline."""
+    period = sum(share.values())
+    waiting, ready, slots = [(0, s, 0) for s in sorted(share) if share[s]], [], []
     for t in range(period):
-        ready = [(-(-(k + 1) * period // share[s]), s) for s, k in done.items() if k < share[s] and k * period // share[s] <= t]
-        _, s = min(ready)
-        slots.append((s, done[s]))
-        done[s] += 1
+        while waiting and waiting[0][0] <= t:
+            _, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * period // share[s]), s, k))
+        _, s, k = heapq.heappop(ready)
+        slots.append((s, k))
+        if k + 1 < share[s]:
+            heapq.heappush(waiting, ((k + 1) * period // share[s], s, k + 1))
     return slots
 
 

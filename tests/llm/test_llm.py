@@ -229,6 +229,19 @@ def test_pfair_deviation():
         assert all(abs(done[x] - share[x] * t / 97) < 1 for x in share)
 
 
+def test_schedule_as_plain_search():
+    """The heaps give what looking at every source in every slot gives."""
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        share = {f"s{k:02d}": int(n) for k, n in enumerate(rng.integers(1, 40, rng.integers(1, 12)))}
+        period, done, want = sum(share.values()), dict.fromkeys(sorted(share), 0), []
+        for t in range(period):
+            _, s = min((-(-(k + 1) * period // share[s]), s) for s, k in done.items() if k < share[s] and k * period // share[s] <= t)
+            want.append((s, done[s]))
+            done[s] += 1
+        assert mixing.schedule(share) == want
+
+
 def test_mixing_edges(spark, docs):
     out = collect(mixing.mix_sources(docs))
     assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in ROWS) and len({r["position"] for r in out}) == len(out)
