@@ -68,6 +68,52 @@ def place(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+class _Mix:
+    """The mix of one table: its schedule as two literal tables (for each source its share and number of cells, for each slot its source and
+    block), and the steps from a row to its place in it."""
+
+    def __init__(self, docs: DataFrame, weights: dict[str, int] | None, block: int, period: int):
+        spark = docs.sparkSession
+        found = {r["s"]: r["n"] for r in docs.select(F.coalesce("source", F.lit("")).alias("s")).groupBy("s").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources")
+        target = tempered(found) if weights is None else {s: weights.get(s, 0) for s in found}
+        self.block, self.period = block, max(period, 2 * len(found))
+        share = shares(target, self.period)
+        code = {s: k for k, s in enumerate(share)}
+        ints = lambda xs: (F.split(F.lit(",".join(map(str, xs))), ",") if xs else F.array()).cast("array<long>")
+        turns = schedule(share)
+        self.slots = F.broadcast(spark.range(1).select(F.posexplode(F.arrays_zip(ints([code[s] for s, _ in turns]).alias("s"), ints([k for _, k in turns]).alias("k"))).alias("slot_in", "x")).select("x.s", "x.k", "slot_in"))
+        self.sources = F.broadcast(spark.createDataFrame([(s, code[s], share[s], ceil(found[s] / CELL)) for s in share] or [("", 0, 1, 1)], "_source string, s long, share long, cells long"))
+
+    def celled(self, rows: DataFrame) -> DataFrame:
+        """rows (_id, _source, _tie and others) with s, share, _place and cell."""
+        at = F.when(F.col("_id").isNull(), F.pmod(F.col("_tie"), F.lit(1 << 32))).otherwise(place(F.col("_id")))
+        return rows.withColumn("_place", at).join(self.sources, "_source").withColumn("cell", F.floor(F.col("_place") * F.col("cells") / (1 << 32))).drop("cells")
+
+    def starts(self, celled: DataFrame) -> DataFrame:
+        """(s, cell, start): the number of rows of the source in the cells before."""
+        before = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = celled.groupBy("s", "cell").agg(F.count("*").alias("n"))
+        return keep(sizes.select("s", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "cells")
+
+    def placed(self, rows: DataFrame, rank: Column) -> DataFrame:
+        """rows (s, share) with block, slot and position of that rank in the source."""
+        blocked = rows.withColumn("_k", rank).withColumn("block", F.floor(F.col("_k") / self.block))
+        slotted = blocked.withColumn("k", F.col("block") % F.col("share")).join(self.slots, ["s", "k"])
+        slot = F.floor(F.col("block") / F.col("share")) * self.period + F.col("slot_in")
+        return slotted.withColumn("slot", slot).withColumn("position", F.col("slot") * self.block + F.col("_k") % self.block)
+
+
+_ORDER = ("_place", "_id", "_tie")
+
+
+def _rows(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """docs as _row (the carried columns), _id, _source and _tie: a hash of them that orders rows of one id (maps have no hash)."""
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if c in carried and "map<" not in kind])
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), tie.alias("_tie"))
+
+
 def mix_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """All columns of docs, then block (of its source), slot and position (long), which replace columns of those names; rows in order of position have the target mix.
 
@@ -75,35 +121,11 @@ def mix_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int
     of its own (weights name it ""). The period is `period` slots, or twice the number of sources where that is more. Rows that share an id are
     in the order of a hash of their other columns (rows alike in all are interchangeable); a row without an id takes its place by that hash.
     """
-    spark = docs.sparkSession
-    key = F.coalesce("source", F.lit(""))
-    found = {r["s"]: r["n"] for r in docs.select(key.alias("s")).groupBy("s").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    target = tempered(found) if weights is None else {s: weights.get(s, 0) for s in found}
-    period = max(period, 2 * len(found))
-    share = shares(target, period)
-    names = list(share)
-    code = {s: k for k, s in enumerate(names)}
-    # The two tables are literals of fixed size: for each source its share and number of cells, for each slot its source and block.
-    ints = lambda xs: (F.split(F.lit(",".join(map(str, xs))), ",") if xs else F.array()).cast("array<long>")
-    turns = schedule(share)
-    slots = spark.range(1).select(F.posexplode(F.arrays_zip(ints([code[s] for s, _ in turns]).alias("s"), ints([k for _, k in turns]).alias("k"))).alias("slot_in", "x")).select("x.s", "x.k", "slot_in")
-    sources = spark.createDataFrame([(s, code[s], share[s], ceil(found[s] / CELL)) for s in names] or [("", 0, 1, 1)], "_source string, s long, share long, cells long")
-
-    carried = [c for c in docs.columns if c not in ("block", "slot", "position")]
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if c in carried and "map<" not in kind])  # maps have no hash
-    at = F.when(F.col("doc_id").isNull(), F.pmod(tie, F.lit(1 << 32))).otherwise(place(F.col("doc_id")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.col("doc_id").alias("_id"), key.alias("_source"), at.alias("_place"), tie.alias("_tie"))
-    celled = rows.join(F.broadcast(sources), "_source").withColumn("cell", F.floor(F.col("_place") * F.col("cells") / (1 << 32)))
-    sizes = celled.groupBy("s", "cell").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keep(sizes.select("s", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "cells")
-    numbered = celled.join(starts, ["s", "cell"]).withColumn("_k", F.col("start") + F.row_number().over(Window.partitionBy("s", "cell").orderBy("_place", "_id", "_tie")) - 1)
-    blocked = numbered.withColumn("_block", F.floor(F.col("_k") / block))
-    slotted = blocked.withColumn("k", F.col("_block") % F.col("share")).join(F.broadcast(slots), ["s", "k"])
-    slot = F.floor(F.col("_block") / F.col("share")) * period + F.col("slot_in")
-    return slotted.select("_row.*", F.col("_block").alias("block"), slot.alias("slot"), (slot * block + F.col("_k") % block).alias("position"))
+    mix = _Mix(docs, weights, block, period)
+    celled = mix.celled(_rows(docs, [c for c in docs.columns if c not in ("block", "slot", "position")]))
+    numbered = celled.join(mix.starts(celled), ["s", "cell"])
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("s", "cell").orderBy(*_ORDER)) - 1
+    return mix.placed(numbered, rank).select("_row.*", "block", "slot", "position")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
@@ -111,10 +133,33 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None) -> DataF
     return mix_order(pick(docs, doc_id="long", source="string"), weights)
 
 
-def mixed(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
-    """All rows of docs, with their columns, laid out in mixed order: partitions, and the rows in each, ascend by position."""
-    ordered = mix_order(docs.select(F.struct("*").alias("_doc"), "doc_id", F.col("source").cast("string").alias("source")), weights)
-    return ordered.repartitionByRange(F.col("position")).sortWithinPartitions("position").select("_doc.*")
+def mixed(docs: DataFrame, weights: dict[str, int] | None = None, parts: int | None = None) -> DataFrame:
+    """All rows of docs, with their columns, laid out in mixed order: partitions, and the rows in each, ascend by position (rows that are alike in
+    all columns stay in one partition). parts: about how many partitions, else the session's number of shuffle partitions.
+
+    Ids, sources and hashes are numbered first. A partition is a range of positions, and so of each source's order: the first keys of its ranges,
+    by cell, tell which partition a row goes to, so whole rows are exchanged once and numbered where they land.
+    """
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mix = _Mix(docs, weights, BLOCK, PERIOD)
+    rows = _rows(docs, docs.columns)
+    celled = mix.celled(rows.drop("_row"))
+    in_cell = Window.partitionBy("s", "cell").orderBy(*_ORDER)
+    numbered = celled.join(mix.starts(celled), ["s", "cell"]).withColumn("_n", F.col("start") + F.row_number().over(in_cell) - 1)
+    told = mix.placed(numbered.withColumn("_r", F.col("start") + F.rank().over(in_cell) - 1), F.col("_r"))  # ties are placed as their first
+    told = keep(told.select("s", "cell", *_ORDER, "_n", "position"), "positions")
+    width = -(-((told.agg(F.max("position")).first()[0] or 0) + 1) // parts)
+    key = F.struct(*[F.col(c) for c in _ORDER])
+    part = F.floor(F.col("position") / width).cast("int")
+    firsts = told.groupBy("s", "cell", part.alias("part")).agg(F.min(key).alias("first"), F.min("_n").alias("_n"))
+    # Where a source's numbers begin in a partition: in the first of its cells there.
+    begin = firsts.groupBy("s", "part").agg(F.min("_n").alias("begin"))
+    ranges = keep(firsts.join(begin, ["s", "part"]).groupBy("s", "cell").agg(F.sort_array(F.collect_list(F.struct("first", "part", "begin"))).alias("ranges")), "ranges")
+    found = F.element_at(F.filter("ranges", lambda r: r["first"] <= key), -1)
+    dealt = mix.celled(rows).join(small(ranges, 64 * F.size("ranges") + 32), ["s", "cell"]).withColumn("_to", found).withColumn("part", F.col("_to.part"))
+    landed = dealt.repartitionByRange(parts, "part")
+    rank = F.col("_to.begin") + F.row_number().over(Window.partitionBy("part", "s").orderBy(*_ORDER)) - 1
+    return mix.placed(landed, rank).sortWithinPartitions("part", "position").select("_row.*")
 
 
 def laid_out(rows: DataFrame) -> DataFrame:

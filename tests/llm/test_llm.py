@@ -256,10 +256,13 @@ def test_mixing_clashing_columns_and_order(spark, docs, tmp_path, monkeypatch):
     again = collect(mixing.mix_order(clash.repartition(3)))
     key = lambda rows: sorted((r["position"], str(r["doc_id"]), str(r["text"])[:30]) for r in rows)
     assert key(out) == key(again)
-    mixing.mixed(clash.drop("m")).write.parquet(f"{tmp_path}/mixed")
-    back = collect(mixing.laid_out(spark.read.parquet(f"{tmp_path}/mixed").drop("position")))
-    assert [str(r["doc_id"]) for r in sorted(back, key=lambda r: r["position"])] == [str(r["doc_id"]) for r in sorted(out, key=lambda r: r["position"])]
-    assert sorted(r["position"] for r in back) == list(range(len(ROWS)))
+    assert mixing.mixed(clash).columns == clash.columns and mixing.mixed(clash).count() == len(ROWS)
+    plain = collect(mixing.mix_order(docs))
+    for parts in (1, 3, 40):
+        mixing.mixed(docs.repartition(2), parts=parts).write.parquet(f"{tmp_path}/mixed{parts}")
+        back = collect(mixing.laid_out(spark.read.parquet(f"{tmp_path}/mixed{parts}")))
+        assert [str(r["doc_id"]) for r in sorted(back, key=lambda r: r["position"])] == [str(r["doc_id"]) for r in sorted(plain, key=lambda r: r["position"])]
+        assert sorted(r["position"] for r in back) == list(range(len(ROWS)))
     monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
     with pytest.raises(ValueError):
         mixing.mix_sources(docs)
