@@ -251,19 +251,18 @@ def median_of_all(df: DataFrame, z: str) -> float | None:
     return (kth(rows, "_v", (n - 1) // 2, low, high) + kth(rows, "_v", n // 2, low, high)) / 2
 
 
-def ranked(df: DataFrame, z: str, name: str, cells: int = 4096) -> DataFrame:
-    """df with the rank of z among all rows (ties share the lowest). Rows are dealt to cells of z by its approximate quantiles; a cell's first
-    rank is the number of rows in the cells below, and rows are counted inside their cell alone. The table of cells has at most `cells` rows."""
+def ranked(df: DataFrame, z: str, name: str, keep) -> DataFrame:
+    """df with the rank of z among all rows (ties share the lowest; null without z). Distinct values are dealt to ranges, which keep writes; a
+    range's first rank is the number of rows in the ranges below, and values are counted inside their range alone. The table of ranges is numbered
+    in one task."""
     from pyspark.sql.window import Window
 
-    cuts = df.agg(F.percentile_approx(z, [k / cells for k in range(1, cells)], 10 * cells)).first()[0] or []
-    literal = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if len(cuts) <= 64 else F.from_json(F.lit("[" + ",".join(repr(float(x)) for x in sorted(set(cuts))) + "]"), "array<double>")
-    celled = df.select("*", F.size(F.filter(literal, lambda e: e <= F.col(z))).alias("_cell"))
-    values = celled.where(F.col(z).isNotNull()).groupBy("_cell", F.col(z).alias("_v")).agg(F.count("*").alias("_n"))
-    below = values.groupBy("_cell").agg(F.sum("_n").alias("_c")).withColumn("_start", F.coalesce(F.sum("_c").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    inside = Window.partitionBy("_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.withColumn("_k", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(below), "_cell").select("_cell", "_v", (1 + F.col("_start") + F.col("_k")).alias(name))
-    return celled.join(ranks, (celled["_cell"] == ranks["_cell"]) & (F.col(z) == F.col("_v")), "left").drop("_cell", "_v")
+    values = df.where(F.col(z).isNotNull()).groupBy(F.col(z).alias("_v")).agg(F.count("*").alias("_n"))
+    dealt = keep(values.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = dealt.groupBy("_p").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_least")).select("_p", before(Window.orderBy("_least")).alias("_start"))
+    ranks = dealt.withColumn("_k", before(Window.partitionBy("_p").orderBy("_v"))).join(F.broadcast(first), "_p").select("_v", (1 + F.col("_start") + F.col("_k")).alias(name))
+    return df.join(ranks, F.col(z) == F.col("_v"), "left").drop("_v")
 
 
 def standardize(df: DataFrame, strata: list[str], z: str) -> DataFrame:

@@ -182,11 +182,12 @@ def interpolate_at(spark, d):
     return rounded(joins.interpolate_at(left, right, "user_id"), 6, "v")
 
 
-@query("""WITH s AS (SELECT user_id AS id, event_type, min(ts) AS t0, max(ts) AS t1 FROM events GROUP BY 1, 2)
+@query("""WITH s AS (SELECT event_type, user_id * 100 + day(ts) AS id, min(ts) AS t0, max(ts) + INTERVAL 5 MINUTE AS t1 FROM events GROUP BY 1, 2)
 SELECT a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.t0 <= b.t1 AND b.t0 <= a.t1 WHERE a.event_type = 'error' AND b.event_type = 'purchase'""")
 def interval_overlaps(spark, d):
-    s = events(spark, d).groupBy(F.col("user_id").alias("id"), "event_type").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    return joins.overlaps(s.where("event_type = 'error'"), s.where("event_type = 'purchase'"), 5)
+    """Users' days, from their first to five minutes after their last event of a kind."""
+    s = events(spark, d).groupBy((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("id"), "event_type").agg(F.min("ts").alias("t0"), (F.max("ts") + F.expr("INTERVAL 5 MINUTES")).alias("t1"))
+    return joins.overlaps(s.where("event_type = 'error'"), s.where("event_type = 'purchase'"), 1)
 
 
 @query("""WITH e AS (SELECT l_orderkey AS id, sum(l_quantity) AS v FROM lineitem GROUP BY 1), dd AS (SELECT CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS v FROM lineitem GROUP BY 1)
@@ -313,7 +314,7 @@ r AS (SELECT c_acctbal, s, rank() OVER (ORDER BY c_acctbal) AS ra, rank() OVER (
 def agreement(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey", "c_acctbal").agg(F.sum("o_totalprice").alias("s"))
     for v, r in (("c_acctbal", "ra"), ("s", "rb")):
-        c = stats.ranked(c, v, r)
+        c = stats.ranked(c, v, r, keep)
     return rounded(c.agg(F.corr("c_acctbal", "s").alias("pearson"), F.corr("ra", "rb").alias("spearman")), 6, "pearson", "spearman")
 
 
