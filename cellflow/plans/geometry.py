@@ -57,8 +57,7 @@ BOXES = """b AS (SELECT user_id * 1000 + dayofyear(ts) AS id, event_type, min(va
 def footprint_overlaps(spark, d):
     e = events(spark, d).where("event_type in ('purchase', 'click')").select("event_type", (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("id"), "value", F.hour("ts").alias("hour"))
     boxes = footprints.bounds(e, ["id", "event_type"], "value", "hour", 0.5)
-    pairs = footprints.overlapping(boxes.where("event_type = 'purchase'"), boxes.where("event_type = 'click'"), 12.0)
-    return pairs.groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"), F.min("b_id").alias("first"))
+    return footprints.overlap_counts(boxes.where("event_type = 'purchase'"), boxes.where("event_type = 'click'"), 12.0, keep)
 
 
 RING = [(0.0, 0.0), (30.0, 4.0), (18.0, 22.0), (10.0, 9.0), (4.0, 20.0)]

@@ -102,3 +102,24 @@ def test_flotation_transfer(spark):
             assert abs(r.t_re + 1j * r.t_im - want) < 1e-9
     longest = min((r for r in rows if r.kx or r.ky), key=lambda r: r.kx**2 + r.ky**2)
     assert abs(longest.t_re + 1j * longest.t_im - 1) < 0.1
+
+
+def test_overlaps_are_counted_without_pairs(spark, monkeypatch):
+    """As brute force, with ties on edges, with cells of few rows, and partners found by looking through ids or by the join."""
+    from cellflow.operators.store import keep
+
+    rng = random.Random(8)
+    corner = lambda: rng.choice([float(rng.randint(-6, 6)), rng.uniform(-6, 6)])
+    box = lambda i: (i, x := corner(), y := corner(), x + rng.choice([0.0, 0.5, 3.0]), y + rng.choice([0.0, 1.0, 9.0]))
+    a, b = [box(i) for i in range(300)] + [box(7), (500, 90.0, 90.0, 91.0, 91.0), (501, None, 0.0, 1.0, 1.0)], [box(10_000 - i) for i in range(400)] + [(3, 0.0, None, 1.0, 1.0)]
+    frames = [spark.createDataFrame(t, "id long, x0 double, y0 double, x1 double, y1 double") for t in (a, b)]
+    want = {}
+    for p in a:
+        hit = [q[0] for q in b if None not in (*p, *q) and p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]]
+        if hit:
+            n, first = want.get(p[0], (0, math.inf))
+            want[p[0]] = n + len(hit), min(first, *hit, 10**9)
+    for name, cell, look, left in (("few", 20, 150, 0), ("join", 50, 100, 10**6)):
+        monkeypatch.setattr(footprints, "CELL", cell), monkeypatch.setattr(footprints, "LOOK", look), monkeypatch.setattr(footprints, "LEFT", left)
+        assert {r["id"]: (r["n"], r["first"]) for r in footprints.overlap_counts(*frames, 2.0, keep).collect()} == want, name
+    assert footprints.overlap_counts(frames[0].limit(0), frames[1], 2.0, keep).count() == 0
