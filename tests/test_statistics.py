@@ -215,3 +215,29 @@ def test_coherent_return_is_chosen(spark):
     out = {r["id"]: r["r"] for r in df.select("id", waveforms.retrack(F.col("w"), waveforms.coherent(F.col("c"))).alias("r")).collect()}
     assert (out[1]["peak"], out[1]["status"]) == (80, "ok") and (out[2]["peak"], out[2]["status"]) == (120, "ok") and out[1]["gate"] < 80 < out[2]["gate"] < 120
     assert (out[3]["status"], out[3]["gate"]) == ("low_coh", None) and out[4]["status"] == "empty"
+
+
+@pytest.mark.parametrize("few", [0, 50])
+def test_block_pairs_as_numpy(spark, monkeypatch, few):
+    """Split squares, copies of places and ids, ties among differences and a first edge above 0; pairs don't leave their task."""
+    for name, value in (("BLOCK", 16), ("TILE", 64), ("TASK", 500), ("FEW", few)):
+        monkeypatch.setattr(spatial, name, value)
+    rng = np.random.default_rng(4)
+    x, y = rng.uniform(-3, 3, (2, 120))
+    x[:40], y[:40], v = 0.25, -0.5, np.round(rng.normal(0, 2, 120), 1)
+    ids = [k if k < 110 else 5 for k in range(120)]
+    p = spark.createDataFrame([(i, *map(float, q)) for i, q in zip(ids, zip(x, y, v, strict=True), strict=True)] + [(999, None, 1.0, 1.0)], "id long, x double, y double, v double")
+    i, j = np.triu_indices(120, 1)
+    differ = np.array(ids)[i] != np.array(ids)[j]
+    d, dv = np.sqrt((x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2)[differ], np.abs(v[i] - v[j])[differ]
+    for edges in ([0.0, 0.5, 1.0, 1.5], [0.3, 1.2]):
+        want = {k: dv[(d >= a) & (d < b)] for k, (a, b) in enumerate(itertools.pairwise(edges))}
+        for how, gamma in (("matheron", lambda w: (w**2).mean() / 2), ("dowd", lambda w: (1.4826 * np.median(w)) ** 2 / 2)):
+            got = {r["bin"]: (r["n"], r["gamma"]) for r in spatial.variogram(p, edges, how, 1).collect()}
+            assert got == {k: (len(w), pytest.approx(gamma(w))) for k, w in want.items()}
+    assert spatial.variogram(p.limit(0), [0.0, 1.0], "dowd").count() == spatial.variogram(p.limit(0), [0.0, 1.0], "matheron").count() == 0
+    model = [("nugget", 0.5, 0.0), ("spherical", 1.0, 2.0)]
+    off = (1.5 - spatial.model_value(np.sqrt((x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2), model)).mean()
+    e = spatial.effective_samples(p, model, None)
+    assert e["n_points"] == 121 - 1 and e["mean_offdiag_cov"] == pytest.approx(off, rel=1e-12)
+    assert spatial.effective_samples(p.limit(1), model, None)["var_mean"] == 1.5
