@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .footprints import inside
-from .stats import nmad
+from .stats import counted_nmad, nmad
+from .store import keep
 
 
 def elevation_envelope(surface: DataFrame, pad: float = 100.0) -> DataFrame:
@@ -209,7 +210,9 @@ def drop_noise(points: DataFrame, peakiness: float | None = 1.5, quality: int |
 
 
 def agreement_by(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """(keys, n, bias, spread, rmse, r): a less b in the median, its scaled median deviation, root mean square, and their correlation."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_d", F.col(a) - F.col(b))
-    s = nmad(rows, keys, "_d").select(*keys, "n", F.col("median").alias("bias"), F.col("nmad").alias("spread"))
-    return s.join(rows.groupBy(*keys).agg(F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rmse"), F.corr(a, b).alias("r")), keys)
+    """(keys, n, bias, spread, rmse, r): a less b in the median, its scaled median deviation, root mean square, and their correlation. Medians are found by
+    counts over several rounds, for which the columns are written once."""
+    rows = keep(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)).withColumn("_d", (F.col(a) - F.col(b)).cast("double"))
+    s = counted_nmad(rows, keys, "_d").select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "n", F.col("median").alias("bias"), F.col("nmad").alias("spread"))
+    fit = rows.groupBy(*keys).agg(F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rmse"), F.corr(a, b).alias("r"))
+    return s.join(fit, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]).select(*keys, "n", "bias", "spread", "rmse", "r")

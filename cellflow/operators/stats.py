@@ -69,6 +69,85 @@ def nmad(df: DataFrame, keys: list[str], z: str) -> DataFrame:
     return dev.select(*keys, "n", "median", "nmad")
 
 
+#: Groups of more rows than this get their medians by counts; a round has so many counters for all groups together.
+LARGE, COUNTERS = 100_000, 65_536
+
+
+def large_medians(rows: DataFrame, keys: list[str], z: str, state: list[dict]) -> list[float]:
+    """The exact median of z in each group of state (the keys, n, low and high: rows, least and largest value), found by counts: each round deals a
+    group's interval to cells and goes on in the one that holds the median, until it has LARGE values at most, which are then sorted. No task
+    holds more than counts or one group's last values."""
+    out: list[float | None] = [None] * len(state)
+    open_ = {g: ((s["n"] - 1) // 2, s["n"], s["low"], s["high"]) for g, s in enumerate(state)}
+    spark, kinds = rows.sparkSession, ", ".join(f"`_k{i}` {rows.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+    if not state:
+        return []
+
+    def within(open_: dict) -> DataFrame:
+        of = [(g, low, high, *[state[g][k] for k in keys]) for g, (_, _, low, high) in open_.items()]
+        limits = F.broadcast(spark.createDataFrame(of, f"_g int, _low double, _high double{', ' if keys else ''}{kinds}"))
+        own = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        both = rows.select(F.col(z).alias("_v"), *keys)
+        return (both.join(limits, own) if own else both.crossJoin(limits)).where(F.col("_v").between(F.col("_low"), F.col("_high"))).select("_g", "_v", "_low", "_high")
+
+    def settle(g: int, a: float, b: float) -> None:
+        out[g] = a if state[g]["n"] % 2 else (a + b) / 2
+        open_.pop(g, None)
+
+    while True:
+        for g, (_, _, low, high) in list(open_.items()):
+            if low == high:
+                settle(g, low, high)
+        wide = {g: o for g, o in open_.items() if o[1] > LARGE}
+        if not wide:
+            break
+        cells = max(16, COUNTERS // len(wide))
+        span = F.greatest((F.col("_high") / cells - F.col("_low") / cells), F.lit(5e-324))
+        cell = F.least(F.floor((F.col("_v") - F.col("_low")) / span), F.lit(cells - 1)).cast("int")
+        counts: dict[int, list] = {}
+        for r in within(wide).groupBy("_g", cell.alias("c")).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")).collect():
+            counts.setdefault(r["_g"], []).append((r["low"], r["high"], r["n"]))
+        for g, (k, _, _, _) in wide.items():
+            both = sorted(counts[g])
+            for i, (low, high, n) in enumerate(both):
+                if k < n:
+                    break
+                k -= n
+            if k == n - 1 and state[g]["n"] % 2 == 0:  # the two middle values are in two cells
+                settle(g, high, both[i + 1][0])
+            else:
+                open_[g] = k, n, low, high
+    if open_:
+        for r in within(open_).groupBy("_g").agg(F.sort_array(F.collect_list("_v")).alias("v")).join(
+            F.broadcast(spark.createDataFrame([(g, o[0]) for g, o in open_.items()], "_g int, k int")), "_g").select("_g", F.get("v", F.col("k")).alias("a"), F.coalesce(F.get("v", F.col("k") + 1), F.get("v", F.col("k"))).alias("b")).collect():
+            settle(r["_g"], r["a"], r["b"])
+    return out
+
+
+def counted_nmad(rows: DataFrame, keys: list[str], z: str) -> DataFrame:
+    """nmad(), for groups of any size: those of more than LARGE rows by counts, whose table the driver holds. Keys may be null; z is a double, whose
+    NaN count nowhere as nulls do."""
+    full = rows.where(F.col(z).isNotNull() & ~F.isnan(z))
+    sizes = full.groupBy(*keys).agg(F.count("*").alias("n"), F.min(z).alias("low"), F.max(z).alias("high"))
+    found = sizes.agg(F.count_if(F.col("n") <= LARGE).alias("small"), F.collect_list(F.when(F.col("n") > LARGE, F.struct(*keys, "n", "low", "high"))).alias("large")).first()
+    large = [r.asDict() for r in found["large"]]
+    mid = large_medians(full, keys, z, large)
+    spark, types = rows.sparkSession, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    told = F.broadcast(spark.createDataFrame([(*[s[k] for k in keys], m) for s, m in zip(large, mid, strict=True)], f"{types}, _m double").select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "_m"))
+    same = [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)]
+    off = full.select(*keys, z).join(told, same).select(*keys, F.abs(F.col(z) - F.col("_m")).alias("_d"))
+    reach = [s | {"low": 0.0, "high": max(s["high"] - m, m - s["low"])} for s, m in zip(large, mid, strict=True)]
+    spread = large_medians(off, keys, "_d", reach)
+    done = spark.createDataFrame([(*[s[k] for k in keys], s["n"], m, d * MAD_TO_SIGMA) for s, m, d in zip(large, mid, spread, strict=True)], f"{types}, n long, median double, nmad double")
+    if not found["small"]:
+        return done
+    small = full.select(*keys, z).join(told, same, "left_anti") if large else full.select(*keys, z)
+    value = small.groupBy(*keys).agg(F.collect_list(z).alias("_v")).select(*keys, F.size("_v").cast("long").alias("n"), F.sort_array("_v").alias("_v"))
+    middle = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
+    rest = value.withColumn("median", middle(F.col("_v"))).withColumn("_v", F.sort_array(F.transform("_v", lambda x: F.abs(x - F.col("median")))))
+    return done.unionByName(rest.select(*keys, "n", "median", (middle(F.col("_v")) * MAD_TO_SIGMA).alias("nmad")))
+
+
 def drop_outliers(df: DataFrame, keys: list[str], z: str, k: float = 3.0, min_count: int = 3) -> DataFrame:
     """Rows within k scaled median deviations of their group's median (all, where that deviation is 0); then groups of min_count rows at least."""
     stat = nmad(df, keys, z).select(*keys, "median", F.col("nmad").alias("_s"))
@@ -122,11 +201,11 @@ def nd_binning(df: DataFrame, by: dict[str, list[float]], z: str, min_count: int
     group = lambda s: F.struct(F.lit(len(s)).alias("nd"), *[(F.col(f"_{k}") if k in s else F.lit(-1)).alias(f"b{k}") for k in range(len(names))])
     rows = inside.select("_z", F.explode(F.array(*[group(s) for s in sets])).alias("g")).select("_z", "g.*")
     keys = ["nd", *[f"b{k}" for k in range(len(names))]]
-    every = {"count": F.count("*"), "mean": F.avg("_z"), "std": F.stddev_pop("_z"), "median": F.median("_z")}
-    out = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.median("_z").alias("_m"), *[every[c].alias(c) for c in statistics if c in every])
-    if "nmad" in statistics:
-        off = rows.join(out.select(*keys, "_m"), keys).groupBy(*keys).agg((F.median(F.abs(F.col("_z") - F.col("_m"))) * MAD_TO_SIGMA).alias("_d"))
-        out = out.join(off, keys).withColumn("nmad", F.when(F.col("_n") >= min_count, F.col("_d")))
+    every = {"count": F.count("*"), "mean": F.avg("_z"), "std": F.stddev_pop("_z")}
+    out = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[every[c].alias(c) for c in statistics if c in every])
+    if {"median", "nmad"} & set(statistics):
+        robust = counted_nmad(rows, keys, "_z").select(*keys, "median", F.col("nmad").alias("_d"))
+        out = out.join(robust, keys).withColumn("nmad", F.when(F.col("_n") >= min_count, F.col("_d")))
     part = lambda k: F.when(F.col(f"b{k}") >= 0, F.col(f"b{k}"))
     middles = lambda e: F.array(*[F.lit((e[i] + e[i + 1]) / 2) for i in range(len(e) - 1)])
     return out.select("nd", *[c for k, v in enumerate(names) for c in (part(k).alias(f"{v}_bin"), F.get(middles(by[v]), part(k)).alias(f"{v}_mid"))], *statistics)

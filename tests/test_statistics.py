@@ -241,3 +241,14 @@ def test_block_pairs_as_numpy(spark, monkeypatch, few):
     e = spatial.effective_samples(p, model, None)
     assert e["n_points"] == 121 - 1 and e["mean_offdiag_cov"] == pytest.approx(off, rel=1e-12)
     assert spatial.effective_samples(p.limit(1), model, None)["var_mean"] == 1.5
+
+
+def test_large_groups_get_medians_by_counts(spark, monkeypatch):
+    """Odd and even groups, ties, null keys, far outliers and small groups among large ones, as numpy; the largest list is of LARGE values."""
+    monkeypatch.setattr(stats, "LARGE", 20), monkeypatch.setattr(stats, "COUNTERS", 64)
+    rng = np.random.default_rng(6)
+    groups = {"odd": rng.normal(0, 1, 301), "even": np.append(rng.exponential(1, 299), 1e12), "tied": np.repeat([1.0, 2.0], 40), "same": np.full(50, 3.0), None: rng.normal(5, 2, 80), "few": rng.normal(0, 1, 8), "one": np.array([4.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("few", None)], "k string, v double").repartition(3)
+    got = {r["k"]: (r["n"], r["median"], r["nmad"]) for r in stats.counted_nmad(df, ["k"], "v").collect()}
+    assert got == {k: (len(v), pytest.approx(np.median(v), rel=1e-12), pytest.approx(1.4826 * np.median(np.abs(v - np.median(v))), rel=1e-12)) for k, v in groups.items()}
+    assert stats.large_medians(df.where("k = 'tied'"), ["k"], "v", [{"k": "tied", "n": 80, "low": 1.0, "high": 2.0}]) == [1.5]
