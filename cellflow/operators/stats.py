@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cellflow.functions.scalars import MAD_TO_SIGMA, SECONDS_PER_YEAR, TUKEY_C, guarded_ratio
 
+from .store import keep
+
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
@@ -185,7 +187,9 @@ def quantile_edges(df: DataFrame, z: str, bins: int = 10) -> list[float]:
 def bin_of(v: Column, edges: list[float]) -> Column:
     """The number of v's bin (from 0); bins are half-open but the last, which holds its upper edge. Null outside."""
     inside = v.between(edges[0], edges[-1]) & ~F.isnan(v.cast("double"))
-    return F.when(inside, F.least(F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= v)), F.lit(len(edges) - 1)) - 1)
+    # A sum of comparisons is compiled, a lambda isn't.
+    reached = sum((v >= float(e)).cast("int") for e in edges) if len(edges) <= 64 else F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= v))
+    return F.when(inside, F.least(reached, F.lit(len(edges) - 1)) - 1)
 
 
 def nd_binning(df: DataFrame, by: dict[str, list[float]], z: str, min_count: int = 30, statistics: tuple[str, ...] = ("count", "mean", "std", "median", "nmad")) -> DataFrame:
@@ -196,6 +200,7 @@ def nd_binning(df: DataFrame, by: dict[str, list[float]], z: str, min_count: int
     names = list(by)
     binned = df.select(F.col(z).cast("double").alias("_z"), *[bin_of(F.col(v), e).alias(f"_{k}") for k, (v, e) in enumerate(by.items())])
     inside = binned.where(F.col("_z").isNotNull() & ~F.isnan("_z")).dropna(subset=[f"_{k}" for k in range(len(names))])
+    inside = keep(inside)  # read again for each round of the medians
     sets = [{k} for k in range(len(names))] + ([set(range(len(names)))] if len(names) > 1 else [])
     # -1: the variable takes no part.
     group = lambda s: F.struct(F.lit(len(s)).alias("nd"), *[(F.col(f"_{k}") if k in s else F.lit(-1)).alias(f"b{k}") for k in range(len(names))])
