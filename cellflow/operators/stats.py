@@ -242,7 +242,8 @@ def dispersion_model(binning: DataFrame, by: dict[str, list[float]], statistic:
                 corner = [(at * 1, w) for at, w in corner]
                 continue
             v = F.least(F.greatest(c, F.lit(m[0])), F.lit(m[-1]))
-            k = F.least(F.size(F.filter(F.array(*map(F.lit, m)), lambda e: e <= v)), F.lit(len(m) - 1)) - 1
+            reached = sum((v >= e).cast("int") for e in m) if len(m) <= 64 else F.size(F.filter(F.array(*map(F.lit, m)), lambda e: e <= v))
+            k = F.least(reached, F.lit(len(m) - 1)) - 1
             lo, hi = F.get(F.array(*map(F.lit, m)), k), F.get(F.array(*map(F.lit, m)), k + 1)
             u = (v - lo) / (hi - lo)
             corner = [x for at, w in corner for x in ((at * len(m) + k, w * (1 - u)), (at * len(m) + k + 1, w * u))]
