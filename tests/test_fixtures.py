@@ -115,6 +115,32 @@ def test_interpolation_clamps(spark):
     assert {x.id: x.v for x in joins.interpolate_at(at, r, "k").collect()} == {1: 1.0, 2: 2.0, 3: 3.0, 4: None}
 
 
+def test_overlaps_make_few_other_pairs(spark, monkeypatch):
+    """Pairs as by two loops (ends that touch, alike, backwards, days long, null), over dealt nodes; not all intervals of a day are compared."""
+    monkeypatch.setattr(joins, "TASK", 40)
+    rng = np.random.default_rng(3)
+    made = lambda n: [(k, int(t), int(t + d)) for k, (t, d) in enumerate(zip(rng.integers(0, 86400, n), rng.choice([0, 60, 300, 40_000, 900_000, -70], n)))]
+    sides = [[*made(90), (900, 600, 900), (901, 600, 900), (902, -500_000, 2_000_000), (903, 40, None)], [*made(80), (900, 900, 1200), (901, 300, 600), (902, None, 50)]]
+    for kind in ("timestamp", "timestamp_ntz"):
+        frames = [spark.createDataFrame(r, "id long, x long, y long").selectExpr("id", f"cast(timestamp_seconds(x) as {kind}) as t0", f"cast(timestamp_seconds(y) as {kind}) as t1") for r in sides]
+        got = sorted(tuple(r) for r in joins.overlaps(*frames, 1).collect())
+        full = [[r for r in side if None not in r] for side in sides]
+        assert got == sorted((i, j) for i, a0, a1 in full[0] for j, b0, b1 in full[1] if a0 <= b1 and b0 <= a1), kind
+    # 300 minutes of a day on each side, none of which meet.
+    apart = [spark.range(300).selectExpr("id", f"timestamp_seconds(id * 288 + {at}) as t0", f"timestamp_seconds(id * 288 + {at} + 60) as t1") for at in (0, 100)]
+    tables = []
+    monkeypatch.setattr(joins, "keep", lambda df: (tables.append(keep(df)), tables[-1])[1])
+    assert joins.overlaps(*apart, 1).count() == 0
+    work = [df.agg(joins.F.sum("work")).first()[0] or 0 for df in tables if "work" in df.columns]
+    assert len(work) == 2 and sum(work) < 300 * 300 / 20
+    f = joins._nodes(joins.F.col("x"), joins.F.col("y"), 3)
+    for x, y in ((0, 0), (3, 2), (-5, 70), (1, 300)):
+        nodes = spark.sql(f"select {x}L as x, {y}L as y").select(f.alias("n")).first()["n"]
+        leaves = [r["node"] * 4 ** r["level"] + j for r in nodes for j in range(4 ** r["level"])]
+        assert sorted(leaves) == list(range(x, y + 1)) and len(nodes) < 25
+    assert joins.overlaps(frames[0].limit(0), frames[1], 1).count() == 0
+
+
 def test_readers(spark, tmp_path):
     from cellflow.sources import readers
 
