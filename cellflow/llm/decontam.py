@@ -5,8 +5,8 @@ index stores their postings (term, document, position). A posting moved back by
 begin; postings that agree on (document, passage, beginning) are an intersection of offset-adjusted lists, and the bits of their offsets tell
 whether all the rarest terms of some window agree. A near match is a window that some words changed, put in or left out (NEAR at most) turn
 into words of the document. Any such window keeps two of its NEAR + 2 rarest terms, at beginnings that differ by NEAR at most: those lists are
-intersected with that slack. Alignments that are left are compared word by word with the piece of the document that they point to, one row
-for each, for near matches by a banded edit distance that starts and ends anywhere. Every step is DataFrame operations.
+intersected with that slack, window by window. Alignments that are left are compared word by word with the piece of the document that they
+point to, one row for each, for near matches, if enough words are there, by a banded edit distance that starts and ends anywhere. Every step is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -36,11 +36,14 @@ def words_of(text: Column) -> Column:
 
 
 def passages(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(sid, item_id, words, size): overlapping passages of each item; size is the window's length, less in an item of fewer words."""
+    """(sid, item_id, words, size, different): overlapping passages of each item; size is the window's length, less in an item of fewer words,
+    different the least number of different words in a window."""
     items = pick(benchmark, item_id="string", text="string").select("item_id", words_of(F.col("text")).alias("all")).where(F.size("all") > 0)
     begins = F.explode(F.sequence(F.lit(0), F.greatest(F.size("all") - window, F.lit(0)), F.lit(PASSAGE - window + 1)))
     cut = items.select("item_id", "all", F.least(F.lit(window), F.size("all")).alias("size"), begins.alias("begin"))
-    return cut.select(F.monotonically_increasing_id().alias("sid"), "item_id", F.slice("all", F.col("begin") + 1, F.lit(PASSAGE)).alias("words"), "size")
+    named = cut.select(F.monotonically_increasing_id().alias("sid"), "item_id", F.slice("all", F.col("begin") + 1, F.lit(PASSAGE)).alias("words"), "size")
+    different = F.transform(F.sequence(F.lit(0), F.size("words") - F.col("size")), lambda w: F.size(F.array_distinct(F.slice("words", w + 1, F.col("size")))))
+    return named.withColumn("different", F.array_min(different))
 
 
 def text_key(text: Column) -> Column:
@@ -85,10 +88,11 @@ def alignments(docs: DataFrame, passage: DataFrame, window: int, near: int, scra
     needs = scratch.keep(look.join(passage.select("sid", "size"), "sid").select("sid", "needs", "size").distinct(), "needs")
     needs = small(needs, 8 * F.size("needs") + 32)
     if near:
-        # Of whole windows only beginnings go on about which two places agree.
+        # Of whole windows only beginnings go on about which two places of one window agree.
         about = Window.partitionBy("doc_id", "key", "sid").orderBy("begin").rangeBetween(-near, near)
-        slack = starts.withColumn("least", F.min("place").over(about)).withColumn("most", F.max("place").over(about)).join(needs.select("sid", "size"), "sid")
-        starts = slack.where((F.col("size") < window) | (F.col("least") < F.col("most")))
+        slack = starts.withColumn("about", F.bit_or(_bit(F.col("place"))).over(about)).join(needs, "sid")
+        two = F.exists("needs", lambda m: (m.bitwiseAND(_bit(F.col("place"))) != 0) & (F.bit_count(m.bitwiseAND(F.col("about"))) > 1))
+        starts = slack.where((F.col("size") < window) | (F.bit_count("about") > 1) & two).drop("about", "needs", "size")
     agreed = starts.groupBy("doc_id", "key", "sid", "begin").agg(F.bit_or(_bit(F.col("place"))).alias("bits")).join(needs, "sid")
     exact = F.exists("needs", lambda m: F.col("bits").bitwiseAND(m) == m)
     agreed = agreed.where((F.col("size") == window) | exact if near else exact)
@@ -112,6 +116,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int, near: int, scrat
     aligned = pieces.join(small(passage, F.length(F.array_join("words", " ")) + 40), "sid")
     there = lambda k: F.get("piece", F.col("begin") - F.col("from") + k)
     same = F.transform("words", lambda w, k: F.when(there(k) == w, 1).otherwise(0))
+    # Before any distance: near windows have all but `near` of their words on a diagonal of the band, so as many different ones in the piece.
+    may_differ = F.when(F.col("size") == window, near).otherwise(0)
+    places = F.sequence(F.lit(0), F.size("words") - F.col("size"))
+    on = F.transform("words", lambda w, k: F.when(F.array_contains(F.slice("piece", F.greatest(F.col("begin") - F.col("from") + k - near, F.lit(0)) + 1, F.lit(2 * near + 1)), w), _bit(k)).otherwise(F.lit(0).cast("long")))
+    bits = F.aggregate(on, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x))
+    enough = F.exists(places, lambda w: F.bit_count(F.call_function("shiftright", F.col("bits"), w).bitwiseAND(_bit(F.col("size")) - 1)) >= F.col("size") - may_differ)
+    aligned = aligned.where(F.size(F.array_intersect("words", "piece")) >= F.col("different") - may_differ)
+    aligned = aligned.withColumn("bits", bits).where(enough)
     # For each word of the passage 0 or 1, whether it differs from the document's, on each diagonal of the band.
     off = F.transform("words", lambda w, k: F.array(*[F.when(there(k + d) == w, 0).otherwise(1) for d in range(-near, near + 1)]))
     compared = aligned.select("doc_id", "key", "item_id", "size", "begin", same.alias("same"), *([off.alias("off")] if near else []))

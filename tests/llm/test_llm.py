@@ -10,7 +10,7 @@ import time
 import numpy as np
 import pytest
 
-from cellflow.llm import common, decontam, gbdt_quality, jaccard_join, lang_cnn, mixing, pii, quality_rules, sharding, toxicity, warc
+from cellflow.llm import common, decontam, gbdt_quality, jaccard_join, lang_cnn, mixing, pii, quality_rules, queries, sharding, toxicity, warc
 
 LONG = " ".join(f"w{k % 977}" for k in range(30_000))
 BASE = " ".join(f"alpha{k}" for k in range(60))
@@ -219,6 +219,19 @@ def test_near_matches_as_brute_force(spark, monkeypatch, broadcast):
     assert got[901][0] == 1 and 20 < sum(n > 0 for n, _ in got.values()) < len(docs)
 
 
+def test_decontamination_query_matches_near(spark, tmp_path, monkeypatch):
+    """The query's rows come through the method with its proximity matches, and only windows that may match reach the edit distance."""
+    w = [f"q{k}" for k in range(30)]
+    docs = [(1, " ".join(w[:12])), (2, " ".join([*w[:4], "other", *w[5:12]])), (3, f"{w[3]} " + "u " * 24 + w[28]), (4, f"{w[0]} {w[1]} {w[2]} u u u u {w[7]}"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(w))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near, rows, inner = [], [], decontam.matches
+    monkeypatch.setattr(decontam, "matches", lambda *a: (near.append(a[3]), inner(*a))[1].transform(lambda m: (rows.extend((r["doc_id"], len(r["spans"]) > 0, r["near"]) for r in m.collect()), m)[1]))
+    out = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in collect(queries.op10_decontamination(spark, str(tmp_path)))}
+    assert out == {1: (12, 1, True), 2: (0, 0, False), 3: (0, 0, False), 4: (0, 0, False), 5: (0, 0, False)}
+    assert near == [decontam.NEAR] and {r for r in rows if r[0] == 2} == {(2, False, True)} and {r[0] for r in rows} == {1, 2}
+
+
 def test_pfair_deviation():
     share = mixing.shares({"a": 5, "b": 3, "c": 1, "d": 0}, 97)
     assert sum(share.values()) == 97 and share["d"] == 1
