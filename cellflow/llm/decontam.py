@@ -123,7 +123,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int, near: int, scrat
     bits = F.aggregate(on, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x))
     enough = F.exists(places, lambda w: F.bit_count(F.call_function("shiftright", F.col("bits"), w).bitwiseAND(_bit(F.col("size")) - 1)) >= F.col("size") - may_differ)
     aligned = aligned.where(F.size(F.array_intersect("words", "piece")) >= F.col("different") - may_differ)
-    aligned = aligned.withColumn("bits", bits).where(enough)
+    # The bits come out of a generator: Catalyst would push a filter on a plain column below it and find all bits again for each window.
+    aligned = aligned.withColumn("bits", F.explode(F.array(bits))).where(enough)
     # For each word of the passage 0 or 1, whether it differs from the document's, on each diagonal of the band.
     off = F.transform("words", lambda w, k: F.array(*[F.when(there(k + d) == w, 0).otherwise(1) for d in range(-near, near + 1)]))
     compared = aligned.select("doc_id", "key", "item_id", "size", "begin", same.alias("same"), *([off.alias("off")] if near else []))

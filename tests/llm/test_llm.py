@@ -232,6 +232,19 @@ def test_decontamination_query_matches_near(spark, tmp_path, monkeypatch):
     assert near == [decontam.NEAR] and {r for r in rows if r[0] == 2} == {(2, False, True)} and {r[0] for r in rows} == {1, 2}
 
 
+@pytest.mark.parametrize("near", [0, decontam.NEAR])
+def test_shared_words_are_found_once_for_all_windows(spark, monkeypatch, near):
+    """Which words of a passage a piece shares is found once for an alignment, not again in the test of each of its windows."""
+    plans, write = {}, common._write
+    monkeypatch.setattr(common, "_write", lambda df, name: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), write(df, name))[1])
+    words = " ".join(f"q{k}" for k in range(30))
+    d, b = spark.createDataFrame([(1, words)], "doc_id long, text string"), spark.createDataFrame([(7, words)], "item_id long, text string")
+    with common.Scratch(spark) as scratch:
+        assert [len(r["spans"]) for r in collect(decontam.matches(decontam._keyed(d), b, decontam.WINDOW, near, scratch))] == [21]
+    found = [x for x in plans["matches"].splitlines() if "array_contains(slice(piece" in x]
+    assert len(found) == 1 and found[0].count("array_contains(") == 1 and "exists(" not in found[0]
+
+
 def test_pfair_deviation():
     share = mixing.shares({"a": 5, "b": 3, "c": 1, "d": 0}, 97)
     assert sum(share.values()) == 97 and share["d"] == 1
