@@ -141,6 +141,26 @@ def test_overlaps_make_few_other_pairs(spark, monkeypatch):
     assert joins.overlaps(frames[0].limit(0), frames[1], 1).count() == 0
 
 
+def test_overlaps_in_tiles_and_runs(spark, monkeypatch, tmp_path):
+    """Whatever the tiles and runs, the same pairs (rows alike and null ids too); many that overlap many take little room in files."""
+    rng = np.random.default_rng(4)
+    sides = [[(None if k == 7 else k // 2, int(t), int(t + d)) for k, (t, d) in enumerate(zip(rng.integers(0, 20_000, 120), rng.choice([0, 300, 15_000, 90_000], 120)))] * 2 for _ in "ab"]
+    frames = [spark.createDataFrame(r, "id long, x long, y long").selectExpr("id", "timestamp_seconds(x) as t0", "timestamp_seconds(y) as t1") for r in sides]
+    order = lambda r: sorted(r, key=lambda x: [-1 if v is None else v for v in x])
+    full = order((i, j) for i, a0, a1 in sides[0] for j, b0, b1 in sides[1] if a0 <= b1 and b0 <= a1)
+    for side, run, task in ((5, 3, 200), (16, 128, 10**6)):
+        for name, v in (("SIDE", side), ("RUN", run), ("TASK", task)):
+            monkeypatch.setattr(joins, name, v)
+        assert order(tuple(r) for r in joins.overlaps(*frames, 1).collect()) == full, (side, run)
+    monkeypatch.undo()
+    monkeypatch.setattr(joins, "TASK", 2_000_000)
+    few, many = (spark.range(n).selectExpr("hash(id) * 100L as id", f"timestamp_seconds({at} + id * {step}) as t0", f"timestamp_seconds({at} + id * {step} + 40000) as t1") for n, at, step in ((300, 30_000, 20), (20_000, 0, 1)))
+    for a, b in ((few, many), (many, few)):
+        joins.overlaps(a, b, 1).write.parquet(out := str(tmp_path / f"{a is few}"))
+        assert spark.read.parquet(out).count() == 300 * 20_000
+        assert sum(f.stat().st_size for f in (tmp_path / f"{a is few}").glob("*.parquet")) < 0.5 * 300 * 20_000
+
+
 def test_readers(spark, tmp_path):
     from cellflow.sources import readers
 
